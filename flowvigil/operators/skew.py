@@ -7,7 +7,8 @@ window runs per (key, chunk), and the little state that crosses a chunk border
 
 Bounds on what is broadcast: a key counts as hot only when it holds more than
 ``HOT_SHARE`` of all rows, so there are at most ``1 / HOT_SHARE`` hot keys whatever
-the data size, and at most twice as many chunks in total.
+the data size, and at most twice as many chunks in total. Data without hot keys
+pays one count per key and nothing else.
 """
 
 from __future__ import annotations
@@ -48,18 +49,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS,
-             share: float = HOT_SHARE) -> DataFrame:
-    """(keys, _n, _limit) of keys holding more than ``share`` of all rows and ``min_rows``."""
+def find_hot(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_MIN_ROWS,
+             share: float = HOT_SHARE) -> DataFrame | None:
+    """(keys, _bounds) of the hot keys, or None when there are none.
+
+    A key is hot when it holds more than ``share`` of all rows and ``min_rows``;
+    ``_bounds`` are positions of ``at`` that cut its rows into chunks of equal size.
+    One count per key always runs; sketches of ``at`` only for keys found hot. The
+    result (1 / share keys at most) is held by the driver, so that the callers can
+    share it and leave all extra work out when it is None.
+    """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     limit = counts.agg(F.greatest(F.lit(float(min_rows)), F.sum("_n") * F.lit(share))).scalar()
-    return counts.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit"))
-
-
-def hot_chunks(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_MIN_ROWS,
-               share: float = HOT_SHARE) -> DataFrame:
-    """(keys, _bounds): equal-depth positions that cut the rows of each hot key."""
-    hot = hot_keys(df, keys, min_rows, share)
+    hot = counts.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit"))
+    rows = hot.collect()
+    if not rows:
+        return None
+    spark = df.sparkSession
+    hot = spark.createDataFrame(rows, hot.schema)
     hot_rows = null_safe_join(df.select(*keys, _position(df, at).alias("_pos")),
                               F.broadcast(hot), keys, "inner")
     cuts = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
@@ -67,9 +74,17 @@ def hot_chunks(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_
         F.percentile_approx("_pos", cuts, MAX_CHUNKS * 40).alias("_bounds"),
         F.least(F.lit(MAX_CHUNKS), F.ceil(F.max("_n") / F.max("_limit"))).alias("_pieces"))
     # keep _pieces - 1 of the cuts, evenly spread
-    return bounds.select(*keys, F.array_distinct(F.filter(
+    bounds = bounds.select(*keys, F.array_distinct(F.filter(
         "_bounds", lambda b, i: ((i + 1) * F.col("_pieces")) % MAX_CHUNKS < F.col("_pieces")
     )).alias("_bounds"))
+    return spark.createDataFrame(bounds.collect(), bounds.schema)
+
+
+AUTO = "auto"
+
+
+def _resolve(hot, df: DataFrame, keys: Sequence[str], at: str) -> DataFrame | None:
+    return find_hot(df, keys, at) if isinstance(hot, str) else hot
 
 
 def _chunk_of(position: Column) -> Column:
@@ -77,31 +92,38 @@ def _chunk_of(position: Column) -> Column:
     return F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below)
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], at: str, bounds: DataFrame) -> DataFrame:
+def with_chunks(df: DataFrame, keys: Sequence[str], at: str, hot: DataFrame | None) -> DataFrame:
     """Add ``_chunk``; 0 for every row of a key that is not hot."""
-    marked = null_safe_join(df, F.broadcast(bounds), keys, "left")
+    if hot is None:
+        return df.withColumn("_chunk", F.lit(0))
+    marked = null_safe_join(df, F.broadcast(hot), keys, "left")
     return marked.withColumn("_chunk", _chunk_of(_position(df, at))).drop("_bounds")
 
 
 def scan_in_order(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], *,
                   lags: Mapping[str, str | Column] | None = None,
                   sums: Mapping[str, Column] | None = None, peers: bool = False,
-                  min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE) -> DataFrame:
+                  hot: DataFrame | str | None = AUTO) -> DataFrame:
     """Previous-row values and running totals per key, in ``order``.
 
     ``lags`` maps a new column to the expression whose previous value it takes;
     ``sums`` maps a new column to the expression it totals up to and including the
     row (with ``peers`` also over rows that tie with it). ``order[0]`` is a number
-    or a timestamp; hot keys are cut along it.
+    or a timestamp; hot keys are cut along it. ``hot`` takes the result of
+    ``find_hot`` when the caller already has it.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     lags, sums = dict(lags or {}), dict(sums or {})
-    bounds = hot_chunks(df, keys, order[0], min_rows, share)
-    chunked = with_chunks(df, keys, order[0], bounds)
-
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    hot = _resolve(hot, df, keys, order[0])
+    in_chunk = Window.partitionBy(*keys, *(["_chunk"] if hot is not None else [])).orderBy(*order)
     so_far = (in_chunk.rangeBetween if peers else in_chunk.rowsBetween)(
         Window.unboundedPreceding, Window.currentRow)
+    if hot is None:
+        return df.withColumns({
+            **{name: F.lag(as_column(c)).over(in_chunk) for name, c in lags.items()},
+            **{name: F.sum(expr).over(so_far) for name, expr in sums.items()}})
+
+    chunked = with_chunks(df, keys, order[0], hot)
     columns, totals = {}, []
     if lags:
         last = F.struct(*[as_column(c).alias(name) for name, c in lags.items()])
@@ -113,7 +135,7 @@ def scan_in_order(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]
     scanned = chunked.withColumns(columns)
 
     # one row per chunk of a hot key: what the earlier chunks hand over
-    hot_rows = null_safe_join(df, F.broadcast(bounds), keys, "inner").withColumn(
+    hot_rows = null_safe_join(df, F.broadcast(hot), keys, "inner").withColumn(
         "_chunk", _chunk_of(_position(df, order[0])))
     per_chunk = hot_rows.groupBy(*keys, "_chunk").agg(*totals)
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
@@ -137,29 +159,29 @@ def scan_in_order(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]
 
 
 def trailing_counts(df: DataFrame, key: str, at: str, row_id: str, windows: Mapping[str, int], *,
-                    min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE) -> DataFrame:
+                    hot: DataFrame | str | None = AUTO) -> DataFrame:
     """Rows of the same key in ``(at - seconds, at]`` for each named window.
 
     Keys that are not hot use a range frame. For a hot key the count is the
     difference of two running counts, C(at) - C(at - seconds), each found by a scan
     over time chunks, so no task ever sees the whole key.
     """
-    hot = hot_keys(df, [key], min_rows, share).select(key, F.lit(True).alias("_hot"))
-    marked = null_safe_join(df, F.broadcast(hot), [key], "left")
-
+    hot = _resolve(hot, df, [key], at)
     moment = F.unix_micros(at)
     by_time = Window.partitionBy(key).orderBy(moment)
-    cold = marked.where(F.col("_hot").isNull()).withColumns({
-        name: F.count("*").over(by_time.rangeBetween(-seconds * 1_000_000 + 1, 0))
-        for name, seconds in windows.items()}).drop("_hot")
+    frames = {name: F.count("*").over(by_time.rangeBetween(-seconds * 1_000_000 + 1, 0))
+              for name, seconds in windows.items()}
+    if hot is None:
+        return df.withColumns(frames)
 
+    marked = null_safe_join(df, F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), [key], "left")
+    cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumns(frames)
     hot_rows = marked.where(F.col("_hot")).drop("_hot")
     points = [F.struct(moment.alias("_t"), F.lit(1).alias("_add"), F.lit("now").alias("_what"))]
     points += [F.struct((moment - seconds * 1_000_000).alias("_t"), F.lit(0).alias("_add"),
                         F.lit(name).alias("_what")) for name, seconds in windows.items()]
     asked = hot_rows.select(key, F.col(row_id), F.inline(F.array(*points)))
-    counted = scan_in_order(asked, key, ["_t"], sums={"_upto": F.col("_add")}, peers=True,
-                            min_rows=min_rows, share=share)
+    counted = scan_in_order(asked, key, ["_t"], sums={"_upto": F.col("_add")}, peers=True, hot=hot)
     at_point = {what: F.max(F.when(F.col("_what") == what, F.col("_upto")))
                 for what in ["now", *windows]}
     counts = counted.groupBy(row_id).agg(*[
@@ -187,28 +209,30 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_n
         name, (F.col("_before") + local).cast("bigint")).drop("_mid", "_part", "_before")
 
 
-def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str,
-                  spread: str, *, min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE) -> DataFrame:
-    """Left join ``rows`` to one ``per_key`` row each.
+def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, spread: str, *,
+                  hot: DataFrame | str | None = AUTO) -> DataFrame:
+    """Left join ``rows`` to ``per_key``, which has one row per ``key``; null finds nothing.
 
-    ``weight`` is the column of ``per_key`` with the number of rows of the key. Hot
-    keys (at most ``1 / share``) are joined by broadcast; their rows are then spread
-    over the shuffle of the remaining join by a hash of ``spread``.
+    Rows of hot keys (1 / HOT_SHARE keys at most) find theirs by broadcast and are
+    spread over the shuffle of the remaining join by a hash of ``spread``, so that
+    one hot key cannot fill one task.
     """
-    values = [c for c in per_key.columns if c not in keys]
-    limit = per_key.agg(F.greatest(F.lit(float(min_rows)), F.sum(weight) * F.lit(share))).scalar()
-    marked = per_key.withColumn("_limit", limit)
-    hot = marked.where(F.col(weight) > F.col("_limit")).select(
-        *keys, F.struct(*values).alias("_hot_row"))
-    cold = marked.where(F.col(weight) <= F.col("_limit")).select(
-        *keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold_row"))
-    flagged = null_safe_join(rows, F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot_row").isNull(), F.lit(0)).otherwise(
-            1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
-    joined = null_safe_join(flagged, cold, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot_row", "_cold_row")
-    return joined.withColumn("_found", found).select(
-        *rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    values = [c for c in per_key.columns if c != key]
+    hot = _resolve(hot, rows, [key], spread)
+    if hot is None:
+        return rows.join(per_key, key, "left").select(*rows.columns, *values)
+    hot_list = F.broadcast(hot.select(key))
+    few = per_key.join(hot_list, key, "left_semi").select(
+        key, F.struct(*values).alias("_hot_row"))
+    many = per_key.join(hot_list, key, "left_anti").select(
+        key, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold_row"))
+    marks = F.broadcast(hot.select(key, F.lit(True).alias("_is_hot")))
+    flagged = null_safe_join(rows, marks, [key], "left").join(F.broadcast(few), key, "left")
+    salted = flagged.withColumn("_salt", F.when(F.col("_is_hot").isNull(), F.lit(0)).otherwise(
+        1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
+    joined = salted.join(many, [key, "_salt"], "left").withColumn(
+        "_found", F.coalesce("_hot_row", "_cold_row"))
+    return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, float], accuracy: int = 100_000) -> dict[str, float | None]:

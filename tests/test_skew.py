@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flowvigil.operators import skew
 
-HOT = {"min_rows": 20, "share": 0.01}
+def hot_of(df, keys=("user",), at="ts"):
+    return skew.find_hot(df, list(keys), at, min_rows=20, share=0.01)
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def skewed(spark):
 
 def test_hot_key_is_cut_into_chunks(skewed):
     _, df = skewed
-    bounds = skew.hot_chunks(df, ["user"], "ts", **HOT)
+    bounds = hot_of(df)
     sizes = {r["user"]: len(r["_bounds"]) for r in bounds.collect()}
     assert sizes[0] > 10 and None in sizes
     per_chunk = skew.with_chunks(df, ["user"], "ts", bounds).groupBy("user", "_chunk").count()
@@ -36,7 +37,7 @@ def test_hot_key_is_cut_into_chunks(skewed):
 def test_scan_in_order_matches_pandas(skewed):
     pdf, df = skewed
     out = skew.scan_in_order(df, "user", ["ts", "id"], lags={"prev_v": "v", "prev_id": "id"},
-                             sums={"run": F.col("v"), "rn": F.lit(1)}, **HOT).toPandas()
+                             sums={"run": F.col("v"), "rn": F.lit(1)}, hot=hot_of(df)).toPandas()
     want = pdf.assign(user=pdf.user.fillna(-1)).sort_values(["user", "sec", "id"])
     group = want.groupby("user")
     want = want.assign(prev_v=group.v.shift(1), prev_id=group.id.shift(1),
@@ -51,8 +52,8 @@ def test_trailing_counts_match_brute_force(skewed):
     pdf, df = skewed
     clean = df.where("user is not null")
     windows = {"c1": 3600, "c24": 86400}
-    for options in (HOT, {}):
-        out = skew.trailing_counts(clean, "user", "ts", "id", windows, **options).toPandas().set_index("id")
+    for hot in (hot_of(clean), None, skew.AUTO):
+        out = skew.trailing_counts(clean, "user", "ts", "id", windows, hot=hot).toPandas().set_index("id")
         kept = pdf.dropna()
         assert len(out) == len(kept)
         for _, row in kept.iterrows():
@@ -72,12 +73,12 @@ def test_number_rows_is_dense_and_ordered(skewed):
 def test_attach_by_key_keeps_every_row(skewed):
     pdf, df = skewed
     per_key = df.groupBy("user").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
-    for options in (HOT, {}):
-        out = skew.attach_by_key(df, per_key, ["user"], "n", "id", **options).toPandas()
-        want = pdf.assign(user=pdf.user.fillna(-1))
+    for hot in (hot_of(df, at="id"), None):
+        out = skew.attach_by_key(df, per_key, "user", "id", hot=hot).toPandas()
+        want = pdf.copy()
         want["total"] = want.groupby("user").v.transform("sum")
         assert len(out) == len(pdf)
-        assert out.set_index("id").sort_index().total.tolist() == want.sort_values("id").total.tolist()
+        np.testing.assert_array_equal(out.set_index("id").sort_index().total.astype(float), want.sort_values("id").total)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1501])
