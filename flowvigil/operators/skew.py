@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from flowvigil.session import shared_dir
 
-HOT_SHARE = 1 / 32768
+HOT_SHARE = 1 / 131072
 HOT_MIN_ROWS = 500_000
-MAX_CHUNKS = 256
+MAX_CHUNKS = 4096  # a power of two: chunks are found by halving
 
 
 def as_column(c: str | Column) -> Column:
@@ -71,7 +71,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_MI
                               F.broadcast(hot), keys, "inner")
     cuts = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
     bounds = hot_rows.groupBy(*keys).agg(
-        F.percentile_approx("_pos", cuts, MAX_CHUNKS * 40).alias("_bounds"),
+        F.percentile_approx("_pos", cuts, MAX_CHUNKS * 10).alias("_bounds"),
         F.least(F.lit(MAX_CHUNKS), F.ceil(F.max("_n") / F.max("_limit"))).alias("_pieces"))
     # keep _pieces - 1 of the cuts, evenly spread
     bounds = bounds.select(*keys, F.array_distinct(F.filter(
@@ -88,7 +88,10 @@ def _resolve(hot, df: DataFrame, keys: Sequence[str], at: str) -> DataFrame | No
 
 
 def _chunk_of(position: Column) -> Column:
-    below = F.size(F.filter("_bounds", lambda b: b < position))
+    """How many of the sorted ``_bounds`` lie below ``position``."""
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(MAX_CHUNKS.bit_length() - 1))])
+    below = F.aggregate(steps, F.lit(0), lambda found, step: F.when(
+        F.get("_bounds", found + step - 1) < position, found + step).otherwise(found))
     return F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below)
 
 

@@ -2,5 +2,6 @@
 
 from flowvigil.plans import (  # noqa: F401  (imported to register their queries)
     features,
+    response,
 )
 from flowvigil.plans.registry import all_oracles, all_queries  # noqa: F401

@@ -91,6 +91,8 @@ def oracle_text(sql: str, digits: dict[str, int]) -> str:
         body = f"select * replace ({fixes}) from (\n{body}\n) as result"
     if not head:
         return body
+    if body.startswith("with"):
+        body = f"select * from (\n{body}\n) as result"
     return "with recursive " + ",\n".join(head) + "\n" + body
 
 
