@@ -1,6 +1,7 @@
 """Every registered query, in the order of the operator groups."""
 
 from flowvigil.plans import (  # noqa: F401  (imported to register their queries)
+    cleaning,
     features,
     response,
 )
