@@ -11,21 +11,32 @@ _OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
-def ipv4_number(ip: Column) -> Column:
-    """The address as BIGINT; null when it is not a dotted quad."""
-    parts = F.split(ip, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.get(parts, F.lit(i)).cast("bigint")
-    return F.when(ip.rlike(_IPV4), number)
+def _network_pattern(network: str, bits: int) -> str:
+    """A regular expression for the addresses of one network, octet by octet."""
+    octets = network.split(".")
+    whole, part = divmod(bits, 8)
+    pieces = octets[:whole]
+    if part:
+        first = int(octets[whole])
+        pieces.append("(" + "|".join(str(first + i) for i in range(2 ** (8 - part))) + ")")
+    pattern = r"\.".join(pieces)
+    return pattern + ("$" if bits == 32 else r"\.")
 
 
-def _ipv4_type(number: Column) -> Column:
-    """First matching range in priority order; the table is fixed, so no join is needed."""
-    kind = F.when(F.lit(False), F.lit(None).cast("string"))
-    for _, lo, hi, name in sorted(dims.ipv4_ranges(), key=lambda r: r[0]):
-        kind = kind.when(number.between(lo, hi), name)
-    return kind.otherwise("public")
+def _ipv4_type(ip: Column) -> Column:
+    """First matching network in priority order.
+
+    The table is fixed, so there is no join; and every test reads the column itself,
+    so nothing is computed twice when the expression ends up in a filter.
+    """
+    groups: dict[tuple[int, str], list[str]] = {}
+    for priority, network, bits, kind in sorted(dims.IPV4_TYPES):
+        groups.setdefault((priority, kind), []).append(_network_pattern(network, bits))
+    out = None
+    for (_, kind), patterns in sorted(groups.items()):
+        test = ip.rlike("^(" + "|".join(patterns) + ")")
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    return out.otherwise("public")
 
 
 def _ipv6_type(ip: Column) -> Column:
@@ -53,8 +64,8 @@ def _ipv6_type(ip: Column) -> Column:
 def ip_type(ip: str | Column) -> Column:
     ip = F.col(ip) if isinstance(ip, str) else ip
     mapped = F.regexp_extract(F.lower(ip), r"^::ffff:([0-9.]+)$", 1)
-    four = F.coalesce(ipv4_number(ip), ipv4_number(mapped))
-    return (F.when(four.isNotNull(), _ipv4_type(four))
+    return (F.when(ip.rlike(_IPV4), _ipv4_type(ip))
+            .when(ip.contains(":") & mapped.rlike(_IPV4), _ipv4_type(mapped))
             .when(ip.contains(":"), _ipv6_type(ip))
             .otherwise("invalid"))
 

@@ -4,5 +4,6 @@ from flowvigil.plans import (  # noqa: F401  (imported to register their queries
     cleaning,
     features,
     response,
+    rules,
 )
 from flowvigil.plans.registry import all_oracles, all_queries  # noqa: F401
