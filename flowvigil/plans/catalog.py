@@ -2,7 +2,9 @@
 
 from flowvigil.plans import (  # noqa: F401  (imported to register their queries)
     cleaning,
+    detectors,
     features,
+    models,
     response,
     rules,
 )

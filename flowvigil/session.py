@@ -53,3 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df):
+    """Write ``df`` once to the shared folder: for data that a fit reads many times.
+
+    The lineage is cut by a reliable checkpoint, so a lost executor costs a re-read,
+    not a recomputation of all features.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
