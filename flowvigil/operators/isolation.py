@@ -147,7 +147,9 @@ def fit_isolation_forest(df: DataFrame, columns: Sequence[str], row_id: str, tre
         return pd.DataFrame([{"tree": number, **grow_tree(x, np.random.default_rng([seed, number]))}])
 
     sampled = tree_samples(df, columns, row_id, trees, sample, seed)
-    grown = sampled.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
+    # a fixed number of tasks: the sample is small in bytes but each tree is work
+    spread = sampled.repartition(max(8, trees // 4), "tree")
+    grown = spread.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
     arrays = [{name: np.array(row[name]) for name in ("feature", "cut", "low", "high", "path")} for row in grown]
     model = IsolationForest(columns, arrays, min(sample, max(df.count(), 1)))
     # scored once; the quantile search reads the scores several times

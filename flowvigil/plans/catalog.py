@@ -7,5 +7,6 @@ from flowvigil.plans import (  # noqa: F401  (imported to register their queries
     models,
     response,
     rules,
+    streams,
 )
 from flowvigil.plans.registry import all_oracles, all_queries  # noqa: F401
