@@ -106,15 +106,14 @@ class IsolationForest:
         return IsolationForest(self.columns, self.trees, self.sample, cut, self.lowest, self.highest)
 
 
-def tree_samples(df: DataFrame, columns: Sequence[str], row_id: str, trees: int, sample: int, seed: int) -> DataFrame:
+def tree_samples(df: DataFrame, columns: Sequence[str], row_id: str, trees: int, sample: int, seed: int,
+                 total: int) -> DataFrame:
     """(tree, columns): ``sample`` rows for each tree, without repeats inside a tree.
 
     Rows get a repeatable hash per tree and the lowest ``sample`` win. A first
     hash filter keeps about four times what all trees need, so only a bounded number
     of rows is ever multiplied by the trees.
     """
-    total = df.count()
-
     def uniform(*parts) -> Column:
         return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(2 ** 31)) / F.lit(2.0 ** 31)
 
@@ -146,12 +145,13 @@ def fit_isolation_forest(df: DataFrame, columns: Sequence[str], row_id: str, tre
         x = pdf[columns].astype(float).fillna(0.0).sort_values(columns).to_numpy()
         return pd.DataFrame([{"tree": number, **grow_tree(x, np.random.default_rng([seed, number]))}])
 
-    sampled = tree_samples(df, columns, row_id, trees, sample, seed)
+    total = df.count()
+    sampled = tree_samples(df, columns, row_id, trees, sample, seed, total)
     # a fixed number of tasks: the sample is small in bytes but each tree is work
     spread = sampled.repartition(max(8, trees // 4), "tree")
     grown = spread.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
     arrays = [{name: np.array(row[name]) for name in ("feature", "cut", "low", "high", "path")} for row in grown]
-    model = IsolationForest(columns, arrays, min(sample, max(df.count(), 1)))
+    model = IsolationForest(columns, arrays, min(sample, max(total, 1)))
     # scored once; the quantile search reads the scores several times
     scored = materialise(df.select(model.raw_score().alias("raw_score")))
     bounds = exact_quantiles(scored.withColumns({"_lo": F.col("raw_score"), "_hi": F.col("raw_score")}),

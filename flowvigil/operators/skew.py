@@ -238,43 +238,62 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, spread: str, *,
     return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, float], accuracy: int = 100_000) -> dict[str, float | None]:
+SORTED_VALUES = 2_000_000
+
+
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, float], accuracy: int = 100_000,
+                    sorted_values: int = SORTED_VALUES) -> dict[str, float | None]:
     """Exact linear-interpolated quantile of each column, nulls left out.
 
-    A mergeable sketch brackets the rank, one pass counts what lies below, and only
-    the values inside the bracket (about ``10 / accuracy`` of the rows, counted per
-    distinct value) are put in order. Returns plain numbers: model parameters.
+    A mergeable sketch brackets the rank and one pass counts the rows below and inside
+    the bracket; while more than ``sorted_values`` rows are inside, the bracket is cut
+    down the same way (to about ``10 / accuracy`` of itself). Only the distinct values
+    left inside are put in order. Returns plain numbers: model parameters.
     """
-    columns = list(wanted)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sizes = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    wide = {c: max(5 / accuracy, 4 / max(sizes[c], 1)) for c in columns}
-    brackets = numbers.agg(*[
-        F.percentile_approx(c, [max(0.0, wanted[c] - wide[c]), min(1.0, wanted[c] + wide[c])],
-                            accuracy).alias(c) for c in columns]).first()
-    live = [c for c in columns if sizes[c]]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
+    sizes = numbers.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict() if wanted else {}
+    live = [c for c in wanted if sizes[c]]
     if not live:
-        return {c: None for c in columns}
-    below = numbers.agg(*[F.count_if(F.col(c) < F.lit(brackets[c][0])).alias(c) for c in live]).first()
-    inside = numbers.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.when(
-            F.col(c).between(brackets[c][0], brackets[c][1]), F.col(c)).alias("v")) for c in live
-    ]))).where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("name").orderBy("v")
+        return {c: None for c in wanted}
     ranks = {c: wanted[c] * (sizes[c] - 1) for c in live}
+    lo, hi = dict.fromkeys(live, float("-inf")), dict.fromkeys(live, float("inf"))
+    below, inside = dict.fromkeys(live, 0), {c: sizes[c] for c in live}
+
+    def within(c: str) -> Column:
+        return F.when(F.col(c).between(F.lit(lo[c]), F.lit(hi[c])), F.col(c))
+
+    open_ = list(live)
+    while open_:
+        shares = {}
+        for c in open_:
+            margin = max(5 / accuracy, 4 / inside[c])
+            at = (ranks[c] - below[c]) / max(inside[c] - 1, 1)
+            shares[c] = [min(max(at - margin, 0.0), 1.0), min(max(at + margin, 0.0), 1.0)]
+        sketch = numbers.agg(*[F.percentile_approx(within(c), shares[c], accuracy).alias(c) for c in open_]).first()
+        lo.update({c: sketch[c][0] for c in open_})
+        hi.update({c: sketch[c][1] for c in open_})
+        counts = numbers.agg(*[F.count_if(F.col(c) < F.lit(lo[c])).alias(f"b_{c}") for c in open_],
+                             *[F.count(within(c)).alias(f"i_{c}") for c in open_]).first()
+        before = {c: inside[c] for c in open_}
+        below.update({c: counts[f"b_{c}"] for c in open_})
+        inside.update({c: counts[f"i_{c}"] for c in open_})
+        # a bracket that no longer shrinks holds few distinct values
+        open_ = [c for c in open_ if inside[c] > sorted_values and inside[c] < before[c] / 2]
+
+    values = numbers.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), within(c).alias("v")) for c in live]))).where(
+        F.col("v").isNotNull()).groupBy("name", "v").agg(F.count("*").alias("n"))
     start = F.create_map(*[x for c in live for x in (F.lit(c), F.lit(below[c]))])
     rank = F.create_map(*[x for c in live for x in (F.lit(c), F.lit(float(ranks[c])))])
-    placed = inside.withColumn("upto", start[F.col("name")] + F.sum("n").over(upto)).withColumn(
+    in_order = Window.partitionBy("name").orderBy("v")
+    placed = values.withColumn("upto", start[F.col("name")] + F.sum("n").over(in_order)).withColumn(
         "rank", rank[F.col("name")])
     pair = placed.groupBy("name").agg(
         F.min(F.when(F.col("upto") >= F.floor("rank") + 1, F.col("v"))).alias("lo"),
         F.min(F.when(F.col("upto") >= F.ceil("rank") + 1, F.col("v"))).alias("hi"))
-    found = {r["name"]: r for r in pair.collect()}
-    out: dict[str, float | None] = {c: None for c in columns}
-    for c in live:
-        lo, hi = found[c]["lo"], found[c]["hi"]
-        out[c] = lo + (hi - lo) * (ranks[c] - int(ranks[c]))
-    return out
+    found = {r["name"]: (r["lo"], r["hi"]) for r in pair.collect()}
+    return {c: found[c][0] + (found[c][1] - found[c][0]) * (ranks[c] - int(ranks[c])) if c in found else None
+            for c in wanted}
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
@@ -289,7 +308,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
 
 
 def top_share_by_hash(df: DataFrame, strata: str, row_id: str, share: float,
-                      prefix: int = 3) -> DataFrame:
+                      prefix: int = 4) -> DataFrame:
     """Add ``held_out``: exactly ``floor(n * share)`` rows of each stratum, picked by md5 order.
 
     Only rows in the hash bucket where the cut falls are ranked, so a stratum that

@@ -91,6 +91,16 @@ def test_exact_quantiles(spark, n, p):
     assert got["y"] == pytest.approx(np.quantile(values * 2, p))
 
 
+@pytest.mark.parametrize("values", [
+    np.random.default_rng(1).random(20_000), np.random.default_rng(2).integers(0, 40, 20_000).astype(float),
+    np.r_[np.zeros(9_000), np.random.default_rng(3).normal(size=11_000)]])
+def test_exact_quantiles_with_narrowing(spark, values):
+    df = spark.createDataFrame(pd.DataFrame({"x": values, "y": values}))
+    got = skew.exact_quantiles(df, {"x": 0.37, "y": 0.9}, accuracy=100, sorted_values=50)
+    assert got["x"] == pytest.approx(np.quantile(values, 0.37), abs=1e-12)
+    assert got["y"] == pytest.approx(np.quantile(values, 0.9), abs=1e-12)
+
+
 def test_exact_quantile_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert skew.exact_quantiles(df, {"x": 0.5}) == {"x": None}
