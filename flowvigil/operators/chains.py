@@ -12,18 +12,21 @@ from flowvigil.operators.history import detail
 from flowvigil.operators.skew import AUTO, scan_in_order
 
 
-def chain_key() -> Column:
+def chain_key(history: DataFrame) -> Column:
     """The source address, else the user, else 'unknown'."""
+    known = history.schema["result"].dataType["threat_details"].dataType.names
+
     def given(name: str) -> Column:
         value = detail(name).cast("string")
         return F.when(value != "", value)
-    return F.coalesce(given("src_ip"), given("user_id"), F.lit("unknown"))
+
+    return F.coalesce(*[given(c) for c in ("src_ip", "user_id") if c in known], F.lit("unknown"))
 
 
 def chain_input(history: DataFrame, by_day: bool = False) -> DataFrame:
     """One row per history entry with its chain; ``by_day`` starts a new chain every day."""
     rows = history.select(
-        chain_key().alias("chain_key"), "timestamp", "seq", "threat_id", detail("src_ip").alias("src_ip"),
+        chain_key(history).alias("chain_key"), "timestamp", "seq", "threat_id", detail("src_ip").alias("src_ip"),
         detail("dst_ip").alias("dst_ip"), detail("dst_port").alias("dst_port"),
         detail("threat_class").alias("threat_class"), "severity", "risk_score", "action")
     if by_day:
