@@ -49,16 +49,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_MIN_ROWS,
-             share: float = HOT_SHARE) -> DataFrame | None:
+def find_hot(df: DataFrame, keys: Sequence[str], at: str | None = None, min_rows: int | None = None,
+             share: float | None = None) -> DataFrame | None:
     """(keys, _bounds) of the hot keys, or None when there are none.
 
     A key is hot when it holds more than ``share`` of all rows and ``min_rows``;
-    ``_bounds`` are positions of ``at`` that cut its rows into chunks of equal size.
+    ``_bounds`` are positions of ``at`` that cut its rows into chunks of equal size
+    (left out when ``at`` is).
     One count per key always runs; sketches of ``at`` only for keys found hot. The
     result (1 / share keys at most) is held by the driver, so that the callers can
     share it and leave all extra work out when it is None.
     """
+    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
+    share = HOT_SHARE if share is None else share
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     limit = counts.agg(F.greatest(F.lit(float(min_rows)), F.sum("_n") * F.lit(share))).scalar()
     hot = counts.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit"))
@@ -67,11 +70,13 @@ def find_hot(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_MI
         return None
     spark = df.sparkSession
     hot = spark.createDataFrame(rows, hot.schema)
+    if at is None:
+        return hot.select(*keys)
     hot_rows = null_safe_join(df.select(*keys, _position(df, at).alias("_pos")),
                               F.broadcast(hot), keys, "inner")
-    cuts = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
+    cuts = ", ".join(f"{i / MAX_CHUNKS}D" for i in range(1, MAX_CHUNKS))
     bounds = hot_rows.groupBy(*keys).agg(
-        F.percentile_approx("_pos", cuts, MAX_CHUNKS * 10).alias("_bounds"),
+        F.expr(f"percentile_approx(_pos, array({cuts}), {MAX_CHUNKS * 10})").alias("_bounds"),
         F.least(F.lit(MAX_CHUNKS), F.ceil(F.max("_n") / F.max("_limit"))).alias("_pieces"))
     # keep _pieces - 1 of the cuts, evenly spread
     bounds = bounds.select(*keys, F.array_distinct(F.filter(
@@ -83,7 +88,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], at: str, min_rows: int = HOT_MI
 AUTO = "auto"
 
 
-def _resolve(hot, df: DataFrame, keys: Sequence[str], at: str) -> DataFrame | None:
+def _resolve(hot, df: DataFrame, keys: Sequence[str], at: str | None) -> DataFrame | None:
     return find_hot(df, keys, at) if isinstance(hot, str) else hot
 
 
@@ -221,7 +226,7 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, spread: str, *,
     one hot key cannot fill one task.
     """
     values = [c for c in per_key.columns if c != key]
-    hot = _resolve(hot, rows, [key], spread)
+    hot = _resolve(hot, rows, [key], None)
     if hot is None:
         return rows.join(per_key, key, "left").select(*rows.columns, *values)
     hot_list = F.broadcast(hot.select(key))

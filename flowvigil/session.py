@@ -38,16 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only when the session names none (local tests) a folder of our own is set.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="flowvigil-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowvigil-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
