@@ -166,35 +166,39 @@ def scan_in_order(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]
     return joined.withColumns(out).drop(*helpers)
 
 
+# A range frame looks at all its rows again for every row, so its cost grows with the
+# square of a key's rows; above this many rows per key running counts are used.
+FRAME_ROWS = 5_000
+
+
 def trailing_counts(df: DataFrame, key: str, at: str, row_id: str, windows: Mapping[str, int], *,
-                    hot: DataFrame | str | None = AUTO) -> DataFrame:
+                    hot: DataFrame | str | None = AUTO, frame_rows: int | None = None) -> DataFrame:
     """Rows of the same key in ``(at - seconds, at]`` for each named window.
 
-    Keys that are not hot use a range frame. For a hot key the count is the
-    difference of two running counts, C(at) - C(at - seconds), each found by a scan
-    over time chunks, so no task ever sees the whole key.
+    When every key is small, a range frame per window. Else the count is the
+    difference of two running counts, C(at) - C(at - seconds), all found in one
+    ordered scan, whose cost is linear and which cuts hot keys into chunks.
     """
     hot = _resolve(hot, df, [key], at)
+    frame_rows = FRAME_ROWS if frame_rows is None else frame_rows
     moment = F.unix_micros(at)
-    by_time = Window.partitionBy(key).orderBy(moment)
-    frames = {name: F.count("*").over(by_time.rangeBetween(-seconds * 1_000_000 + 1, 0))
-              for name, seconds in windows.items()}
     if hot is None:
-        return df.withColumns(frames)
-
-    marked = null_safe_join(df, F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), [key], "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumns(frames)
-    hot_rows = marked.where(F.col("_hot")).drop("_hot")
-    points = [F.struct(moment.alias("_t"), F.lit(1).alias("_add"), F.lit("now").alias("_what"))]
-    points += [F.struct((moment - seconds * 1_000_000).alias("_t"), F.lit(0).alias("_add"),
-                        F.lit(name).alias("_what")) for name, seconds in windows.items()]
-    asked = hot_rows.select(key, F.col(row_id), F.inline(F.array(*points)))
+        largest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= frame_rows:
+            by_time = Window.partitionBy(key).orderBy(moment)
+            return df.withColumns({
+                name: F.count("*").over(by_time.rangeBetween(-seconds * 1_000_000 + 1, 0))
+                for name, seconds in windows.items()})
+
+    points = [F.struct(moment.alias("_t"), F.lit(1).alias("_add"), F.lit(0).alias("_what"))]
+    points += [F.struct((moment - seconds * 1_000_000).alias("_t"), F.lit(0).alias("_add"), F.lit(i).alias("_what"))
+               for i, seconds in enumerate(windows.values(), start=1)]
+    asked = df.select(key, F.col(row_id), F.inline(F.array(*points)))
     counted = scan_in_order(asked, key, ["_t"], sums={"_upto": F.col("_add")}, peers=True, hot=hot)
-    at_point = {what: F.max(F.when(F.col("_what") == what, F.col("_upto")))
-                for what in ["now", *windows]}
+    upto = [F.max(F.when(F.col("_what") == i, F.col("_upto"))) for i in range(len(windows) + 1)]
     counts = counted.groupBy(row_id).agg(*[
-        (at_point["now"] - at_point[name]).cast("bigint").alias(name) for name in windows])
-    return cold.unionByName(hot_rows.join(counts, row_id))
+        (upto[0] - upto[i]).cast("bigint").alias(name) for i, name in enumerate(windows, start=1)])
+    return df.join(counts, row_id)
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_no") -> DataFrame:

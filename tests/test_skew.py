@@ -52,8 +52,8 @@ def test_trailing_counts_match_brute_force(skewed):
     pdf, df = skewed
     clean = df.where("user is not null")
     windows = {"c1": 3600, "c24": 86400}
-    for hot in (hot_of(clean), None, skew.AUTO):
-        out = skew.trailing_counts(clean, "user", "ts", "id", windows, hot=hot).toPandas().set_index("id")
+    for hot, frame_rows in ((hot_of(clean), None), (None, None), (None, 10), (skew.AUTO, None)):
+        out = skew.trailing_counts(clean, "user", "ts", "id", windows, hot=hot, frame_rows=frame_rows).toPandas().set_index("id")
         kept = pdf.dropna()
         assert len(out) == len(kept)
         for _, row in kept.iterrows():
