@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from flowvigil.operators import skew
 
+@pytest.fixture(autouse=True)
+def fewer_chunks(monkeypatch):
+    monkeypatch.setattr(skew, "MAX_CHUNKS", 64)
+
+
 def hot_of(df, keys=("user",), at="ts"):
     return skew.find_hot(df, list(keys), at, min_rows=20, share=0.01)
 

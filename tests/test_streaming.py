@@ -58,3 +58,25 @@ def test_rewriting_a_batch_does_not_double_it(spark):
     each(df, 0)
     each(df, 0)
     assert spark.read.parquet(store).count() == 5
+
+
+def test_observed_counts_reach_the_progress(spark):
+    df = spark.range(7).withColumn("ts", F.timestamp_seconds("id"))
+    query = jobs.start(jobs.observed(arriving(spark, [df.where("id < 3"), df.where("id >= 3")])()), path=scratch_path(spark, "observed"))
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["counters"]["events_processed"] for p in query.recentProgress if p["observedMetrics"]]
+    assert sum(seen) == 7
+
+
+def test_safe_mode_detection_fills_history_and_callback(spark):
+    from flowvigil.plans.detect import Models
+    rows = [(i, 1000 + i, "10.0.0.1", "8.8.8.8", 443) for i in range(6)]
+    flows = spark.createDataFrame(rows, "flow_id long, sec long, src_ip string, dst_ip string, dst_port int").withColumn(
+        "ts", F.timestamp_seconds("sec"))
+    store, queue, counts = scratch_path(spark, "history"), scratch_path(spark, "queue"), []
+    each = jobs.live_detection(Models(), store, queue, lambda found, batch: counts.append(found.count()))
+    each(flows, 0)
+    each(flows, 0)
+    out = spark.read.parquet(store).collect()
+    assert len(out) == 6 and {(r["threat_class"], r["recommended_action"]) for r in out} == {("unknown", "monitor")}
+    assert counts == [6, 6] and spark.read.parquet(queue).count() == 0

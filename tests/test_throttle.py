@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from flowvigil.operators import skew, throttle
 
 
+@pytest.fixture(autouse=True)
+def fewer_chunks(monkeypatch):
+    monkeypatch.setattr(skew, "MAX_CHUNKS", 64)
+
+
 def plain_walk(times, gap):
     sent, last = [], None
     for i, t in enumerate(times):
