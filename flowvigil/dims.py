@@ -134,11 +134,6 @@ def ports(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PORTS, "port int, service string, service_desc string, port_risk string")
 
 
-def class_severity(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, float(s)) for n, s in CLASS_SEVERITY],
-                                 "threat_class string, base_severity double")
-
-
 def asset_criticality(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASSET_CRITICALITY, "asset_id string, asset_criticality double")
 
