@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from flowvigil import dims
 from flowvigil.operators import network, temporal, user
-from flowvigil.operators.skew import AUTO, attach_by_key, find_hot, number_rows
+from flowvigil.operators.skew import AUTO, attach_by_key, find_hot, key_sizes, number_rows
 
 
 # --- category codes ---------------------------------------------------------
@@ -113,9 +113,12 @@ def assemble_features(flows: DataFrame, user_events: DataFrame | None = None, *,
     added: list[str] = []
     # one look for busy users serves the ordered scans and the join below
     per_user_work = "user_id" in out.columns and ("temporal" in groups or "user" in groups)
-    busy = find_hot(out, ["user_id"], "ts") if per_user_work else AUTO
+    busy, largest = AUTO, None
+    if per_user_work:
+        sizes = key_sizes(out, ["user_id"])
+        busy, largest = find_hot(out, ["user_id"], "ts", sizes=sizes), sizes[0]
     if "temporal" in groups:
-        out = temporal.temporal_features(out, row_id=row_id, hot=busy)
+        out = temporal.temporal_features(out, row_id=row_id, hot=busy, largest=largest)
     elif "clock" in groups:
         out = temporal.clock_features(out)
     added += [c for c in out.columns if c not in (row_id, "ts", "user_id", "connection_id")]

@@ -49,25 +49,33 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest key, all rows)."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    row = counts.agg(F.max("_n"), F.sum("_n")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def find_hot(df: DataFrame, keys: Sequence[str], at: str | None = None, min_rows: int | None = None,
-             share: float | None = None) -> DataFrame | None:
+             share: float | None = None, sizes: tuple[int, int] | None = None) -> DataFrame | None:
     """(keys, _bounds) of the hot keys, or None when there are none.
 
     A key is hot when it holds more than ``share`` of all rows and ``min_rows``;
     ``_bounds`` are positions of ``at`` that cut its rows into chunks of equal size
-    (left out when ``at`` is).
+    (left out when ``at`` is). ``sizes`` takes ``key_sizes`` when already known.
     One count per key always runs; sketches of ``at`` only for keys found hot. The
     result (1 / share keys at most) is held by the driver, so that the callers can
     share it and leave all extra work out when it is None.
     """
     min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
     share = HOT_SHARE if share is None else share
+    largest, total = key_sizes(df, keys) if sizes is None else sizes
+    limit = max(float(min_rows), total * share)
+    if largest <= limit:
+        return None
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    limit = counts.agg(F.greatest(F.lit(float(min_rows)), F.sum("_n") * F.lit(share))).scalar()
-    hot = counts.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit"))
+    hot = counts.withColumn("_limit", F.lit(limit)).where(F.col("_n") > F.col("_limit"))
     rows = hot.collect()
-    if not rows:
-        return None
     spark = df.sparkSession
     hot = spark.createDataFrame(rows, hot.schema)
     if at is None:
@@ -172,18 +180,22 @@ FRAME_ROWS = 5_000
 
 
 def trailing_counts(df: DataFrame, key: str, at: str, row_id: str, windows: Mapping[str, int], *,
-                    hot: DataFrame | str | None = AUTO, frame_rows: int | None = None) -> DataFrame:
+                    hot: DataFrame | str | None = AUTO, largest: int | None = None,
+                    frame_rows: int | None = None) -> DataFrame:
     """Rows of the same key in ``(at - seconds, at]`` for each named window.
 
     When every key is small, a range frame per window. Else the count is the
     difference of two running counts, C(at) - C(at - seconds), all found in one
     ordered scan, whose cost is linear and which cuts hot keys into chunks.
+    ``largest`` is the row count of the largest key, when known.
     """
-    hot = _resolve(hot, df, [key], at)
+    if isinstance(hot, str):
+        sizes = key_sizes(df, [key])
+        largest, hot = sizes[0], find_hot(df, [key], at, sizes=sizes)
     frame_rows = FRAME_ROWS if frame_rows is None else frame_rows
     moment = F.unix_micros(at)
     if hot is None:
-        largest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        largest = key_sizes(df, [key])[0] if largest is None else largest
         if largest <= frame_rows:
             by_time = Window.partitionBy(key).orderBy(moment)
             return df.withColumns({

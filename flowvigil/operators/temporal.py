@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowvigil.functions import timeparts as tp
-from flowvigil.operators.skew import AUTO, find_hot, scan_in_order, trailing_counts
+from flowvigil.operators.skew import AUTO, find_hot, key_sizes, scan_in_order, trailing_counts
 
 TIME_COLUMNS = ["hour_of_day", "day_of_week", "day_of_month", "is_weekend", "is_business_hours",
                 "hour_sin", "hour_cos", "day_sin", "day_cos"]
@@ -44,21 +44,23 @@ def since_last_event(df: DataFrame, key: str = "user_id", at: str = "ts",
 
 
 def recent_event_counts(df: DataFrame, key: str = "user_id", at: str = "ts",
-                        row_id: str = "event_id", hot=AUTO) -> DataFrame:
+                        row_id: str = "event_id", hot=AUTO, largest: int | None = None) -> DataFrame:
     windows = {"events_last_hour": 3600, "events_last_day": 86400}
-    counted = trailing_counts(df, key, at, row_id, windows, hot=hot)
+    counted = trailing_counts(df, key, at, row_id, windows, hot=hot, largest=largest)
     return counted.withColumns({
         name: F.when(F.col(key).isNotNull(), F.col(name)).otherwise(0) for name in windows})
 
 
 def temporal_features(df: DataFrame, key: str = "user_id", at: str = "ts",
-                      row_id: str = "event_id", hot=AUTO) -> DataFrame:
+                      row_id: str = "event_id", hot=AUTO, largest: int | None = None) -> DataFrame:
     """All time features per event; the per-user ones only when the key column exists."""
     out = df
     if key in df.columns:
         if isinstance(hot, str):
-            hot = find_hot(df, [key], at)
-        out = recent_event_counts(since_last_event(out, key, at, row_id, hot=hot), key, at, row_id, hot=hot)
+            sizes = key_sizes(df, [key])
+            largest, hot = sizes[0], find_hot(df, [key], at, sizes=sizes)
+        out = since_last_event(out, key, at, row_id, hot=hot)
+        out = recent_event_counts(out, key, at, row_id, hot=hot, largest=largest)
     return clock_features(out, at)
 
 
