@@ -43,8 +43,8 @@ _LOW = U64((1 << _POS) - 1)
 
 GRAMS = "bucket int, pack int, grams binary"
 SHARED = "pack int, kind int, a binary, b binary"
-PIECES = ("bucket int, pack int, g binary, doc binary, pos binary, rep binary, off binary, cnt binary, h1 binary, "
-          "h2 binary, size binary, tokens binary")
+PIECES = "bucket int, pack int, base int, doc binary, pos binary, off binary, cnt binary, size binary, raw int, text binary"
+_SHORT = U64(16)  # anchors are told apart by the upper 48 bits of their hash
 
 
 @dataclass(frozen=True)
@@ -104,12 +104,30 @@ class Pack:
         step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
         a, p, g, c = a[row], p[row] + step, g[row], np.where(hot, 1, c)[row]
         ends = p + c + self.plan.width - 1
-        shape = ((a - p) * 64 + c).astype(U64)
-        h1, h2 = (mix(poly(self.tokens, p, ends, base, self.values) ^ g ^ mix(shape)) for base in BASES)
+        h1, h2 = _identity(self.tokens, self.values, p, ends, a - p, c)
         doc = np.searchsorted(self.off, p, "right") - 1
         pos = a - self.off[doc] if self.plan.within else np.zeros(len(a), np.int64)
-        return {"g": g, "doc": self.ids[doc], "pos": pos, "off": a - p, "cnt": c, "h1": h1, "h2": h2, "start": p,
-                "size": ends - p, "hot": hot[row]}
+        return {"g": g, "doc": self.ids[doc], "pos": pos, "off": a - p, "cnt": c, "h1": h1, "h2": h2, "start": p, "end": ends, "hot": hot[row]}
+
+    def texts_at(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the given runs of tokens, and their sizes."""
+        if self.plan.unit == "words":
+            start, end = self.starts[start], self.ends[end - 1]
+        size = end - start
+        return self.texts.data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
+def _identity(tokens, values, start, end, off, cnt) -> list[np.ndarray]:
+    """Two hashes of the tokens of each piece and of the place of its anchor."""
+    shape = mix((off * 64 + cnt).astype(U64))
+    return [mix(poly(tokens, start, end, base, values) ^ shape) for base in BASES]
+
+
+def _order(plan: Plan, x: dict[str, np.ndarray], reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pieces of a pack in the order they are sent, and their buckets."""
+    bucket = _bucket(np.where(x["hot"][reps], x["h1"][reps], x["g"][reps]), plan.buckets)
+    order = np.lexsort((x["start"][reps], bucket))
+    return order, bucket[order]
 
 
 def distinct(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +214,9 @@ def _send_grams(plan: Plan):
     def run(key, table):
         pack = Pack(plan, table)
         pack.pieces()
-        g = np.unique(pack.g)
-        return _rows(GRAMS, [(b, key[0].as_py(), g[s].tobytes()) for b, s in _split(_bucket(g, plan.buckets))])
+        g = np.unique(pack.g >> _SHORT)
+        short = np.ascontiguousarray(g.view(np.uint16).reshape(-1, 4)[:, :3])
+        return _rows(GRAMS, [(b, key[0].as_py(), short[s].tobytes()) for b, s in _split(_bucket(g << _SHORT, plan.buckets))])
     return run
 
 
@@ -207,8 +226,8 @@ def _shared_grams(plan: Plan):
 
 def _shared(table, hot_packs: int):
     blobs = table["grams"].to_pylist()
-    packs = np.repeat(table["pack"].to_numpy(), [len(b) // 8 for b in blobs])
-    g = np.frombuffer(b"".join(blobs), U64)
+    packs = np.repeat(table["pack"].to_numpy(), [len(b) // 6 for b in blobs])
+    g = _long(b"".join(blobs))
     order = np.argsort(g, kind="stable")
     s = g[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -218,7 +237,15 @@ def _shared(table, hot_packs: int):
     where = order[keep]
     by = np.argsort(packs[where], kind="stable")
     packs, g, hot = packs[where][by], g[where][by], (count[keep] >= hot_packs).astype(np.uint8)[by]
-    return _rows(SHARED, [(p, 0, g[s].tobytes(), hot[s].tobytes()) for p, s in _split(packs)])
+    short = np.ascontiguousarray(g.view(np.uint16).reshape(-1, 4)[:, :3])
+    return _rows(SHARED, [(p, 0, short[s].tobytes(), hot[s].tobytes()) for p, s in _split(packs)])
+
+
+def _long(data: bytes) -> np.ndarray:
+    """48-bit numbers as 64-bit ones."""
+    out = np.zeros((len(data) // 6, 4), np.uint16)
+    out[:, :3] = np.frombuffer(data, np.uint16).reshape(-1, 3)
+    return out.view(U64).ravel()
 
 
 def _known(plan: Plan, left: pa.Table, right: pa.Table):
@@ -226,18 +253,18 @@ def _known(plan: Plan, left: pa.Table, right: pa.Table):
     pack = Pack(plan, left)
     pack.pieces()
     told = right.filter(pa.compute.equal(right["kind"], 0))
-    g, hot = _whole(told["a"], U64), _whole(told["b"], np.uint8)
+    g, hot = _long(b"".join(told["a"].to_pylist())), _whole(told["b"], np.uint8)
     order = np.argsort(g)
     g, hot = g[order], hot[order] > 0
-    at = np.minimum(np.searchsorted(g, pack.g), max(len(g) - 1, 0))
-    shared = g[at] == pack.g if len(g) else np.zeros(len(pack.g), bool)
+    mine = pack.g >> _SHORT
+    at = np.minimum(np.searchsorted(g, mine), max(len(g) - 1, 0))
+    shared = g[at] == mine if len(g) else np.zeros(len(pack.g), bool)
     where = np.flatnonzero(shared)
     x = pack.select(where, hot[at[where]])
     return pack, shared, x
 
 
-_FIELDS = (("g", U64), ("doc", np.int64), ("pos", np.int32), ("rep", np.int32), ("off", np.uint8), ("cnt", np.uint8),
-           ("h1", U64), ("h2", U64), ("size", np.uint16))
+_FIELDS = (("doc", np.int64), ("pos", np.int32), ("off", np.uint8), ("cnt", np.uint8))
 
 
 def _send_pieces(plan: Plan):
@@ -246,40 +273,39 @@ def _send_pieces(plan: Plan):
             return _rows(PIECES, [])
         pack, _, x = _known(plan, left, right)
         reps, _ = distinct(x)
-        deal = np.where(x["hot"][reps], x["h1"][reps], x["g"][reps])
-        bucket = _bucket(deal, plan.buckets)
-        order = np.argsort(bucket, kind="stable")
-        x["rep"] = np.zeros(len(x["g"]), np.int64)
-        x["rep"][reps] = np.arange(len(reps))
+        order, bucket = _order(plan, x, reps)
         out = []
-        for b, s in _split(bucket[order]):
+        for b, s in _split(bucket):
             rows = reps[order[s]]
-            size = x["size"][rows]
-            index = np.repeat(x["start"][rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            tokens = pack.tokens[index]
-            if plan.unit == "words":  # 48 bits of each word's hash
-                tokens = tokens.view(np.uint16).reshape(-1, 4)[:, :3]
-            out.append((b, key[0].as_py(), *(x[n][rows].astype(t).tobytes() for n, t in _FIELDS), tokens.tobytes()))
+            text, size = pack.texts_at(x["start"][rows], x["end"][rows])
+            out.append((b, key[0].as_py(), s.start, *(x[n][rows].astype(t).tobytes() for n, t in _FIELDS),
+                        size.astype(np.int32).tobytes(), len(text), pa.compress(text.tobytes(), "zstd", asbytes=True)))
         return _rows(PIECES, out)
     return run
 
 
 def _settle_bucket(plan: Plan):
     def run(key, table):
-        x = {n: _whole(table[n], t) for n, t in _FIELDS}
-        packs = np.repeat(table["pack"].to_numpy(), [len(b) for b in table["cnt"].to_pylist()])
-        x |= {n: x[n].astype(np.int64) for n in ("doc", "pos", "off", "cnt", "size")}
-        x["start"] = np.cumsum(x["size"]) - x["size"]
+        x = {n: _whole(table[n], t).astype(np.int64) for n, t in _FIELDS}
+        counts = [len(b) for b in table["cnt"].to_pylist()]
+        packs = np.repeat(table["pack"].to_numpy(), counts)
+        number = np.arange(len(packs)) - np.repeat(np.cumsum(counts) - counts - table["base"].to_numpy(), counts)
+        data = b"".join(pa.decompress(t, n, "zstd", asbytes=True) for t, n in zip(table["text"].to_pylist(), table["raw"].to_pylist()))
+        off = np.concatenate([[0], np.cumsum(_whole(table["size"], np.int32), dtype=np.int64)])
+        tokens = np.frombuffer(data, np.uint8)
+        values = BYTE_VALUES
         if plan.unit == "words":
-            tokens = np.zeros((x["size"].sum(), 4), np.uint16)
-            tokens[:, :3] = _whole(table["tokens"], np.uint16).reshape(-1, 3)
-            tokens = tokens.view(U64).ravel()
-        else:
-            tokens = _whole(table["tokens"], np.uint8)
+            texts = Texts.of(tokens, off)
+            starts, ends, off = words(texts)
+            tokens, values = word_hashes(texts, starts, ends), None
+        x["start"] = off[:-1]
+        anchor = x["start"] + x["off"]
+        x["g"] = poly(tokens, anchor, anchor + plan.k, BASES[0], values)
+        x["h1"], x["h2"] = _identity(tokens, values, off[:-1], off[1:], x["off"], x["cnt"])
         bits = settle(x, tokens, plan.width, plan.same)
         where = np.flatnonzero(bits)
         where = where[np.argsort(packs[where], kind="stable")]
-        return _rows(SHARED, [(p, 1, x["rep"][where[s]].tobytes(), bits[where[s]].tobytes())
+        return _rows(SHARED, [(p, 1, number[where[s]].astype(np.int32).tobytes(), bits[where[s]].astype(np.uint32).tobytes())
                               for p, s in _split(packs[where])])
     return run
 
@@ -292,7 +318,7 @@ def _mark(plan: Plan, finish):
         reps, number = distinct(x)
         told = right.filter(pa.compute.equal(right["kind"], 1))
         marks = np.zeros(len(reps), U64)
-        marks[_whole(told["a"], np.int32)] = _whole(told["b"], U64)
+        marks[_order(plan, x, reps)[0][_whole(told["a"], np.int32)]] = _whole(told["b"], np.uint32)
         all_bits = later(x, np.arange(len(number)), reps[number]) if len(number) else np.zeros(0, bool)
         bits = [np.where(all_bits, ones(x["cnt"]), marks[number])]
         starts, counts = [x["start"]], [x["cnt"]]
@@ -303,8 +329,7 @@ def _mark(plan: Plan, finish):
             values, inverse, times = np.unique(g, return_inverse=True, return_counts=True)
             own = own[times[inverse] > 1]
         y = pack.select(own, np.zeros(len(own), bool))
-        tokens = pack.tokens & U64((1 << 48) - 1) if plan.unit == "words" else pack.tokens
-        bits.append(settle(y, tokens, plan.width, plan.same))
+        bits.append(settle(y, pack.tokens, plan.width, plan.same))
         starts.append(y["start"])
         counts.append(y["cnt"])
         bits, starts, counts = (np.concatenate(v) for v in (bits, starts, counts))
@@ -326,6 +351,7 @@ def repeats(docs: DataFrame, *, width: int, k: int, unit: str, within: bool, sam
     """
     sized = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     packs = max(1, -(-sized // pack_bytes))
+    k = max(k, width - 31)  # the windows of an anchor are the bits of 32
     plan = Plan(width, k, unit, within, max(8, -(-sized // BUCKET_BYTES)), hot_packs, same)
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(packs)).cast("int").alias("pack"))
     by_pack = dealt.groupBy("pack")

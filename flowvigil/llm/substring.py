@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowvigil.llm.repeats import repeats
-from flowvigil.llm.text import bytes_column, words_of_flags
+from flowvigil.llm.text import bytes_column, runs
 
 GROUP_SUFFIXES = 100_000
 SCHEMA = "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept binary"
@@ -90,7 +90,7 @@ def _finish(pack, covered):
     texts, off = pack.texts, pack.off
     n_words = np.diff(off)
     removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[off])
-    s, e, before = words_of_flags(covered, off)
+    s, e, before = runs(covered, off)
     doc = np.searchsorted(off, s, "right") - 1
     kept = np.flatnonzero(~covered)
     data = texts.data.copy()

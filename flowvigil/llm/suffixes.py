@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowvigil.llm.repeats import repeats
-from flowvigil.llm.text import bytes_column, words_of_flags
+from flowvigil.llm.text import bytes_column, runs
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary"
 
@@ -54,7 +54,7 @@ def _finish(pack, covered):
                          "ends": pa.array([], pa.list_(pa.int32())), "kept": pa.array([], pa.binary())})
     off = pack.off
     gone = np.concatenate([[0], np.cumsum(covered)])[off]
-    s, e, before = words_of_flags(covered, off)
+    s, e, before = runs(covered, off)
     doc = np.searchsorted(off, s, "right") - 1
     lists = lambda v: pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(v - off[doc], pa.int32()))
     return pa.table({"doc_id": pack.table["doc_id"], "n_bytes": pa.array(np.diff(off), pa.int64()),

@@ -69,6 +69,12 @@ class Texts:
     def __len__(self) -> int:
         return len(self.off) - 1
 
+    @classmethod
+    def of(cls, data: np.ndarray, off: np.ndarray) -> Texts:
+        made = cls.__new__(cls)
+        made.data, made.off, made.nulls = data, off, np.zeros(len(off) - 1, bool)
+        return made
+
     def lowered(self) -> Texts:
         """With A-Z in lower case; other letters stay."""
         self.data = LOWER[self.data]
@@ -185,12 +191,6 @@ def bytes_column(data: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:
         None, pa.py_buffer(np.ascontiguousarray(offsets, width)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def runs_of(flags: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of set flags, cut at ``off``, and runs before each cut."""
-    return words_of_flags(flags, off)
-
-
-def words_of_flags(flags: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    holder = Texts.__new__(Texts)
-    holder.data, holder.off = flags.view(np.uint8), off
-    return words(holder, np.arange(256) > 0)
+def runs(flags: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of set flags, cut at ``off``, and the runs before each cut."""
+    return words(Texts.of(flags.view(np.uint8), off), np.arange(256) > 0)
