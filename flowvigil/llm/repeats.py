@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from flowvigil.llm.text import BASES, BYTE_VALUES, U64, Texts, grams, mix, poly, sliding_min, word_hashes, words
 
 PACK_BYTES = 2 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 # An anchor in this many packs is dealt by window.
 HOT_PACKS = 200
-STEP = 1 << 20
+STEP = 1 << 18
 LAST_ID = np.iinfo(np.int64).max
 _POS = 24
 _LOW = U64((1 << _POS) - 1)
@@ -164,7 +164,7 @@ def settle(x: dict[str, np.ndarray], tokens: np.ndarray, width: int, same) -> np
     many = np.repeat(size > 1, size)
     chosen, gid = reps_by_g[many], np.repeat(np.arange(len(first)), size)[many]
     marks = np.zeros(len(x["g"]), U64)
-    # batches of whole groups with about a million windows each
+    # batches of whole groups with about STEP windows each
     total = np.cumsum(x["cnt"][chosen])
     start = 0
     while start < len(chosen):

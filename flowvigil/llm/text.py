@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 # Bytes of text that are looked at in one go; a document is never cut by ``blocks``.
 BLOCK = 2 << 20
 # Span of one pass of ``poly`` over values (a single item may be longer).
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
