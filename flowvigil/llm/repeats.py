@@ -190,7 +190,8 @@ def settle(x: dict[str, np.ndarray], tokens: np.ndarray, width: int, same) -> np
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    # anchors have small hashes, so these are mixed once more
+    return ((mix(h) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
 def _split(keys: np.ndarray) -> list[tuple[int, slice]]:
@@ -215,8 +216,10 @@ def _send_grams(plan: Plan):
         pack = Pack(plan, table)
         pack.pieces()
         g = np.unique(pack.g >> _SHORT)
-        short = np.ascontiguousarray(g.view(np.uint16).reshape(-1, 4)[:, :3])
-        return _rows(GRAMS, [(b, key[0].as_py(), short[s].tobytes()) for b, s in _split(_bucket(g << _SHORT, plan.buckets))])
+        bucket = _bucket(g, plan.buckets)
+        order = np.argsort(bucket, kind="stable")
+        short = np.ascontiguousarray(g[order].view(np.uint16).reshape(-1, 4)[:, :3])
+        return _rows(GRAMS, [(b, key[0].as_py(), short[s].tobytes()) for b, s in _split(bucket[order])])
     return run
 
 
