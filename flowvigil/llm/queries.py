@@ -94,7 +94,66 @@ QUERIES = {
     "op7_decontamination": decontamination, "op8_sharding": sharding, "op9_byte_bpe": byte_bpe,
     "op10_licence_scan": licence_scan, "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+_SUBSTRING_SQL = f"""
+with d as (select doc_id, {_WORDS.format('text')} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+firsts as (select k, min({{'d': doc_id, 'i': i}}) as f from win group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from win join firsts using (k) where {{'d': doc_id, 'i': i}} > f),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t from each anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) using (doc_id)"""
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\.{control[1:]}')"
+    return out
+
+
+_CHAT_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum({len(chat.OPEN) + 1 + len(chat.CLOSE)} + length(replace({_escaped('role')}, chr(10), '\\n')) + length({_escaped('text')}))::bigint as formatted_chars
+from c group by conv_id"""
+
+
+def _shingles(of: str, key: str) -> str:
+    words = _WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")
+    return f"""(select distinct k, s from (select k, unnest(case when len(w) >= 5
+        then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] end) as s from (select {key} as k, {words} as w from {of})))"""
+
+
+_CONTAINED_SQL = f"""
+with item as {_shingles('benchmark', 'item_id')}, doc as {_shingles('documents', 'doc_id')},
+size as (select k, count(*) as n from item group by k)
+select doc.k as doc_id, item.k as item_id, any_value(n)::bigint as n_shingles, count(*)::bigint as n_found
+from doc join item using (s) join size on size.k = item.k group by all having 100 * count(*) >= 80 * any_value(n)"""
+
+_SHARDS_SQL = f"""
+with recursive orders as (select i as shard,
+    ('0x' || substr(md5(printf('offset:shard-%02d', i)), 1, 12))::bigint % {shards.SLOTS} as o,
+    ('0x' || substr(md5(printf('skip:shard-%02d', i)), 1, 12))::bigint % {shards.SLOTS - 1} + 1 as s from range({len(SHARDS)}) r(i)),
+fill(step, owner) as (
+    select 0::bigint, list_transform(range({shards.SLOTS}), lambda x: -1::bigint)
+    union all
+    select step + 1, list_transform(owner, lambda v, p: case when p = slot then shard else v end) from (
+        select step, owner, shard, list_filter(list_transform(range({shards.SLOTS}), lambda j: (o + j * s) % {shards.SLOTS} + 1),
+                                               lambda x: owner[x] < 0)[1] as slot
+        from fill join orders on shard = step % {len(SHARDS)} where step < {shards.SLOTS})),
+lookup as (select owner from fill where step = {shards.SLOTS})
+select doc_id, slot, owner[slot + 1]::integer as shard from lookup, (
+    select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint % {shards.SLOTS} as slot from documents)"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _SUBSTRING_SQL, "op3_chat_format": _CHAT_SQL, "op7_decontamination": _CONTAINED_SQL, "op8_sharding": _SHARDS_SQL}
 
 
 def all_queries():
