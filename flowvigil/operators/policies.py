@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowvigil import dims
 from flowvigil.functions.timeparts import seconds_between
 from flowvigil.operators.skew import AUTO, attach_by_key, find_hot, scan_in_order
-from flowvigil.sources.files import newest_time
+from flowvigil.sources.files import at_literal, newest_time
 
 ANOMALY_THRESHOLD = 0.8  # fixed value
 
@@ -35,7 +35,7 @@ def rolling_baseline(df: DataFrame, entity: str, value: str, days: int = 28, min
                      as_of: datetime | None = None) -> DataFrame:
     """Mean and deviation per entity over the last ``days``; entities with few samples are left out."""
     as_of = newest_time(df, "ts") if as_of is None else as_of
-    recent = df.where(F.col("ts") > F.lit(as_of) - F.expr(f"interval {days} days"))
+    recent = df.where(F.col("ts") > at_literal(as_of, df.schema["ts"].dataType) - F.expr(f"interval {days} days"))
     return recent.groupBy(entity).agg(
         F.count(value).alias("samples"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
     ).where(F.col("samples") >= min_samples)
@@ -53,7 +53,7 @@ def zone_flags(df: DataFrame, score: str, threshold: float = ANOMALY_THRESHOLD)
 def retain(df: DataFrame, at: str = "ts", days: int = 90, as_of: datetime | None = None) -> DataFrame:
     """Rows of the last ``days`` days; on a date-partitioned table this prunes partitions."""
     as_of = newest_time(df, at) if as_of is None else as_of
-    oldest = F.date_sub(F.lit(as_of).cast("date"), days)
+    oldest = F.date_sub(at_literal(as_of, df.schema[at].dataType).cast("date"), days)
     return df.where(F.col(at) >= oldest.cast(df.schema[at].dataType))
 
 
@@ -126,12 +126,17 @@ def suppress_in_maintenance(alerts: DataFrame, windows: DataFrame, host: str = "
     return kept.join(spans, inside, "left_anti")
 
 
+INDICATOR_LEVELS = ("low", "medium", "high", "critical")
+
+
 def match_indicators(flows: DataFrame, feed: DataFrame, row_id: str = "flow_id") -> DataFrame:
     """Flows whose source or destination is a listed indicator, with the listed level.
 
-    ``feed`` has one (ip, level) row per indicator. It has no known size, so the
-    planner chooses the join on measured sizes; hot addresses are spread.
+    ``feed`` has (ip, level) rows; of several for one address the worst level counts. It has
+    no known size, so the planner chooses the join on measured sizes; hot addresses are spread.
     """
+    rank = F.array_position(F.array(*map(F.lit, INDICATOR_LEVELS)), F.col("level"))
+    feed = feed.groupBy("ip").agg(F.max_by("level", F.struct(rank, "level")).alias("level"))
     out = flows
     for side in ("src", "dst"):
         listed = feed.select(F.col("ip").alias(f"{side}_ip"), F.col("level").alias(f"{side}_level"))

@@ -167,7 +167,9 @@ def scan_in_order(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]
         out[name] = F.when(F.col("_prev").isNotNull(), F.col(f"_prev.{name}")).otherwise(
             F.col(f"_carry.{name}"))
     for name in sums:
-        total = F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) + F.coalesce(F.col(f"_sum_{name}"), F.lit(0))
+        carried, local = F.col(f"_carry_{name}"), F.col(f"_sum_{name}")
+        # as without chunks: nothing but nulls so far is null
+        total = F.when(carried.isNull(), local).when(local.isNull(), carried).otherwise(carried + local)
         out[name] = total.cast(scanned.schema[f"_sum_{name}"].dataType)
     helpers = ["_chunk", *(["_prev", "_carry"] if lags else []),
                *[f"{p}_{n}" for n in sums for p in ("_sum", "_carry")]]
@@ -202,15 +204,19 @@ def trailing_counts(df: DataFrame, key: str, at: str, row_id: str, windows: Mapp
                 name: F.count("*").over(by_time.rangeBetween(-seconds * 1_000_000 + 1, 0))
                 for name, seconds in windows.items()})
 
-    points = [F.struct(moment.alias("_t"), F.lit(1).alias("_add"), F.lit(0).alias("_what"))]
-    points += [F.struct((moment - seconds * 1_000_000).alias("_t"), F.lit(0).alias("_add"), F.lit(i).alias("_what"))
-               for i, seconds in enumerate(windows.values(), start=1)]
-    asked = df.select(key, F.col(row_id), F.inline(F.array(*points)))
+    # the row travels with its own point, so no id is needed to bring the counts back
+    row = F.struct(*[F.col(c) for c in df.columns])
+    points = [F.struct(moment.alias("_t"), F.lit(1).alias("_add"), F.lit(0).alias("_what"), row.alias("_row"))]
+    points += [F.struct((moment - seconds * 1_000_000).alias("_t"), F.lit(0).alias("_add"), F.lit(i).alias("_what"),
+                        F.when(F.lit(False), row).alias("_row")) for i, seconds in enumerate(windows.values(), start=1)]
+    asked = df.withColumn("_uid", F.monotonically_increasing_id()).select(key, "_uid", F.inline(F.array(*points)))
     counted = scan_in_order(asked, key, ["_t"], sums={"_upto": F.col("_add")}, peers=True, hot=hot)
     upto = [F.max(F.when(F.col("_what") == i, F.col("_upto"))) for i in range(len(windows) + 1)]
-    counts = counted.groupBy(row_id).agg(*[
-        (upto[0] - upto[i]).cast("bigint").alias(name) for i, name in enumerate(windows, start=1)])
-    return df.join(counts, row_id)
+    no_time = F.max("_t").isNull()  # rows without a time count each other, as in a range frame
+    counts = counted.groupBy("_uid").agg(F.first("_row", ignorenulls=True).alias("_row"), *[
+        F.when(no_time, upto[0]).otherwise(upto[0] - upto[i]).cast("bigint").alias(name)
+        for i, name in enumerate(windows, start=1)])
+    return counts.select("_row.*", *windows)
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_no") -> DataFrame:
@@ -264,14 +270,15 @@ SORTED_VALUES = 2_000_000
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, float], accuracy: int = 100_000,
                     sorted_values: int = SORTED_VALUES) -> dict[str, float | None]:
-    """Exact linear-interpolated quantile of each column, nulls left out.
+    """Exact linear-interpolated quantile of each column, nulls and NaN left out.
 
     A mergeable sketch brackets the rank and one pass counts the rows below and inside
     the bracket; while more than ``sorted_values`` rows are inside, the bracket is cut
     down the same way (to about ``10 / accuracy`` of itself). Only the distinct values
     left inside are put in order. Returns plain numbers: model parameters.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
+    number = {c: F.col(c).cast("double") for c in wanted}
+    numbers = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in number.items()])
     sizes = numbers.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict() if wanted else {}
     live = [c for c in wanted if sizes[c]]
     if not live:

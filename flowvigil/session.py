@@ -36,11 +36,14 @@ def build_session(app: str = "flowvigil", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only when the session names none (local tests) a folder of our own is set.
+    Only when a local session names none (tests) a folder of our own is set; on a cluster a folder
+    of one machine would not do, so there the setting is required.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowvigil-"))
     return named or context.getCheckpointDir()
 

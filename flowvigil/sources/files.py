@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +42,26 @@ def arff_schema(lines: Sequence[str]) -> T.StructType:
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF text: header lines start with ``@``, comments with ``%``, the rest is comma data."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    """ARFF text: the header declares the attributes, comments start with ``%``, the rest is comma data.
+
+    Header lines are the declarations in the first block of a file, so data may begin with ``@``.
+    The files of a folder must declare the same attributes.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_first"))
     text = F.trim("value")
+    declares = F.col("_first") & text.rlike(r"(?i)^@(relation\s|attribute\s|data\s*$)")
     # one line per attribute
-    header = lines.where(F.lower(text).startswith("@attribute")).withColumn(
-        "_at", F.monotonically_increasing_id()).orderBy("_at").select("value").collect()
-    schema = arff_schema([row["value"] for row in header])
-    data = lines.where((F.length(text) > 0) & ~text.startswith("@") & ~text.startswith("%"))
+    header = lines.where(declares & text.rlike(r"(?i)^@attribute\s")).withColumn(
+        "_at", F.monotonically_increasing_id()).orderBy("_at").select("_file", "value").collect()
+    declared: dict[str, list[str]] = {}
+    for row in header:
+        declared.setdefault(row["_file"], []).append(row["value"])
+    schemas_found = [arff_schema(rows) for rows in declared.values()] or [arff_schema([])]
+    schema = schemas_found[0]
+    if any(other != schema for other in schemas_found):
+        raise ValueError("the files declare different attributes")
+    data = lines.where((F.length(text) > 0) & ~declares & ~text.startswith("%"))
     parsed = F.from_csv(F.col("value"), schema.simpleString()[len("struct<"):-1].replace(":", " "), {"quote": "'"}) \
         if all(re.fullmatch(r"\w+", f.name) for f in schema) else F.from_csv(
             F.col("value"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), {"quote": "'"})
@@ -86,6 +98,15 @@ def newest_time(df: DataFrame, at: str) -> datetime | None:
     return df.agg(F.max(at)).first()[0]
 
 
+def at_literal(moment: datetime, kind: T.DataType) -> Column:
+    """The moment as a literal of the column type ``kind``, whatever zone the driver's system has.
+
+    A time without a zone means itself for columns without a zone, and the system's time for others.
+    """
+    text = moment.isoformat(" ") if isinstance(kind, T.TimestampNTZType) else moment.astimezone(timezone.utc).isoformat(" ")
+    return F.lit(text).cast(kind)
+
+
 def recent_range(df: DataFrame, at: str = "ts", minutes: float = 5, limit: int = 10_000,
                  as_of: datetime | None = None) -> DataFrame:
     """Events of the last ``minutes``, newest first, at most ``limit``.
@@ -93,7 +114,7 @@ def recent_range(df: DataFrame, at: str = "ts", minutes: float = 5, limit: int =
     The bounds are literals, so the range reaches the scan as a pushed filter.
     """
     as_of = newest_time(df, at) if as_of is None else as_of
-    end = F.lit(as_of).cast(df.schema[at].dataType)
+    end = at_literal(as_of, df.schema[at].dataType)
     start = end - F.expr(f"interval {int(minutes * 60)} seconds")
     return df.where((F.col(at) >= start) & (F.col(at) <= end)).orderBy(F.col(at).desc()).limit(limit)
 
@@ -101,6 +122,6 @@ def recent_range(df: DataFrame, at: str = "ts", minutes: float = 5, limit: int =
 def recent_cache(df: DataFrame, at: str = "ts", ttl_seconds: int = 3600, as_of: datetime | None = None) -> DataFrame:
     """Events younger than the time-to-live, with the minute bucket they are kept under."""
     as_of = newest_time(df, at) if as_of is None else as_of
-    start = F.lit(as_of).cast(df.schema[at].dataType) - F.expr(f"interval {ttl_seconds} seconds")
+    start = at_literal(as_of, df.schema[at].dataType) - F.expr(f"interval {ttl_seconds} seconds")
     return df.where(F.col(at) > start).withColumn(
         "cache_key", F.concat(F.lit("recent_events:"), F.date_format(at, "yyyyMMddHHmm")))

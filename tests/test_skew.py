@@ -123,3 +123,29 @@ def test_split_is_exact_per_class(spark, skewed):
     for _, group in out.groupby(out.user.fillna(-1)):
         order = sorted(group.id, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
         assert set(group[group.held_out].id) == set(order[: int(len(group) * 0.2)])
+
+
+def test_both_ways_of_trailing_counts_agree_on_awkward_rows(spark):
+    from datetime import datetime, timedelta
+
+    from flowvigil.operators.skew import trailing_counts
+    base = datetime(2024, 1, 1)
+    rows = [("a", base + timedelta(seconds=s), i) for s, i in ((0, 1), (5, None), (5, 2), (9, 2), (60, 3))]
+    rows += [("a", None, 4), ("a", None, None), (None, base, 5), (None, None, None), ("b", base, 1)]
+    df = spark.createDataFrame(rows, "user string, ts timestamp, row_id long")
+    ways = [trailing_counts(df, "user", "ts", "row_id", {"ten": 10, "hour": 3600}, frame_rows=n) for n in (10**9, 0)]
+    have = [sorted(map(str, w.collect())) for w in ways]
+    assert have[0] == have[1] and len(have[0]) == len(rows) and ways[0].columns == ways[1].columns
+
+
+def test_quantiles_leave_nan_out(spark):
+    from flowvigil.operators.skew import exact_quantiles
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, nan), (3.0, nan), (nan, None), (nan, nan)], "a double, b double")
+    assert exact_quantiles(df, {"a": 0.5, "b": 0.5}) == {"a": 2.0, "b": 1.0}
+
+
+def test_arff_data_may_begin_with_at(spark, tmp_path):
+    from flowvigil.sources.files import read_arff
+    (tmp_path / "x.arff").write_text("% c\n@relation r\n@attribute name string\n@attribute n numeric\n@data\n@amy,2\nbob,3\n")
+    assert sorted(tuple(r) for r in read_arff(spark, str(tmp_path)).collect()) == [("@amy", 2.0), ("bob", 3.0)]
