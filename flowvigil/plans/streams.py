@@ -26,9 +26,14 @@ def _split_stream(t: Tables, parts: int = 4) -> DataFrame:
     return jobs.file_stream(t.spark, path, t.events.schema, files_per_batch=1)
 
 
+def _checkpoint(t: Tables, name: str) -> str:
+    """A query runs its job once over all events, so its checkpoint is its own."""
+    return scratch_path(t.spark, f"{name}-checkpoint")
+
+
 def _sunk(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     path = scratch_path(t.spark, name)
-    jobs.run(stream, path=path, name=name)
+    jobs.run(stream, _checkpoint(t, name), path=path)
     return t.spark.read.schema(stream.schema).parquet(path)
 
 
@@ -40,7 +45,7 @@ def _ingest(t):
     def publish(records: DataFrame, batch: int) -> None:
         records.write.mode("overwrite").text(f"{topic}/batch={batch}")
 
-    jobs.run(flows, each_batch=jobs.ingest(store, publish), name="ingest")
+    jobs.run(flows, _checkpoint(t, "ingest"), each_batch=jobs.ingest(store, publish))
     sent = t.spark.read.text(topic).select(F.get_json_object("value", "$.flow_id").cast("bigint").alias("flow_id"),
                                            F.lit(True).alias("published"))
     return t.spark.read.parquet(store).drop("batch").join(sent, "flow_id", "left")
@@ -51,7 +56,7 @@ def _live(t):
     features = materialise(context.model_features(t.flows))
     models = Models(isolation.fit_isolation_forest(features, context.MODEL_COLUMNS, "flow_id", trees=20))
     path = scratch_path(t.spark, "live")
-    jobs.run(view_over(_split_stream(t, 2), "flows"), each_batch=jobs.live_detection(models, path), name="live")
+    jobs.run(view_over(_split_stream(t, 2), "flows"), _checkpoint(t, "live"), each_batch=jobs.live_detection(models, path))
     return t.spark.read.parquet(path)
 
 
@@ -60,7 +65,7 @@ select flow_id as seq, ts, src_ip, dst_ip, dst_port, 0e0 as anomaly_score, 'unkn
   'low' as severity, 'monitor' as recommended_action, 'executed' as status from flows""", "risk_score")
 def _live_safe(t):
     path = scratch_path(t.spark, "live-safe")
-    jobs.run(view_over(_split_stream(t, 3), "flows"), each_batch=jobs.live_detection(Models(), path), name="live-safe")
+    jobs.run(view_over(_split_stream(t, 3), "flows"), _checkpoint(t, "live-safe"), each_batch=jobs.live_detection(Models(), path))
     return t.spark.read.parquet(path).select("seq", "ts", "src_ip", "dst_ip", "dst_port", "anomaly_score", "threat_class",
                                              "risk_score", "severity", "recommended_action", "status")
 
@@ -96,7 +101,7 @@ select src_ip, count(*) as events, max(risk_score) as max_risk_score, count(*) f
   count(*) filter (where severity = 'critical') as critical from scored group by 1""", "max_risk_score")
 def _running(t):
     path = scratch_path(t.spark, "running")
-    jobs.run(jobs.running_stats(view_over(_split_stream(t), "detections")), mode="update", name="running",
+    jobs.run(jobs.running_stats(view_over(_split_stream(t), "detections")), _checkpoint(t, "running"), mode="update",
              each_batch=lambda df, batch: jobs.write_batch(df, path, batch))
     return jobs.latest_state(t.spark, path)
 

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: ingest, live detection, alerts, windows, running counts, throttle, dedupe.
 
-Every job takes a streaming DataFrame and gives one, or a writer with a checkpoint in
-the shared folder. Sinks written from ``foreachBatch`` put a batch under its own
+Every job takes a streaming DataFrame and gives one, or a writer with the checkpoint that
+the caller names. Sinks written from ``foreachBatch`` put a batch under its own
 ``batch=<id>`` folder with overwrite, so a batch that is run again after a failure
 replaces its rows instead of adding them twice.
 """
@@ -23,7 +23,6 @@ from flowvigil.operators import risk
 from flowvigil.operators.history import alert_filter
 from flowvigil.operators.throttle import NEVER, walk
 from flowvigil.plans.detect import Models, detect
-from flowvigil.session import scratch_path
 from flowvigil.sources.sinks import TOPIC, topic_records
 
 
@@ -44,23 +43,24 @@ def topic_stream(spark: SparkSession, servers: str, schema: StructType, topic: s
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
 
 
-def start(stream: DataFrame, each_batch: Callable[[DataFrame, int], None] | None = None, path: str | None = None,
-          mode: str = "append", every: str | None = None, name: str = "stream") -> StreamingQuery:
+def start(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None] | None = None,
+          path: str | None = None, mode: str = "append", every: str | None = None) -> StreamingQuery:
     """Start a job: ``foreachBatch`` when a function is given, else a parquet file sink.
 
-    ``every`` is a processing-time trigger; without it what is available is processed
-    and the job ends.
+    ``checkpoint`` is a lasting folder of this job and its sink, in a store that all executors
+    reach. A job started again with it goes on behind the last batch, with its state; batch numbers
+    go on too, so a stored batch is replaced only by a repetition of itself. ``every`` is a processing-time
+    trigger; without it what is available is processed and the job ends.
     """
-    writer = stream.writeStream.outputMode(mode).option(
-        "checkpointLocation", scratch_path(stream.sparkSession, f"{name}-checkpoint"))
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     if each_batch is not None:
         return writer.foreachBatch(each_batch).start()
     return writer.format("parquet").option("path", path).start()
 
 
-def run(stream: DataFrame, **options) -> None:
-    start(stream, **options).awaitTermination()
+def run(stream: DataFrame, checkpoint: str, **options) -> None:
+    start(stream, checkpoint, **options).awaitTermination()
 
 
 def write_batch(df: DataFrame, path: str, batch: int) -> None:
@@ -88,7 +88,9 @@ def live_detection(models: Models, detections_path: str, queue_path: str | None
     ``callback`` gets the detections of each batch.
     """
     def each(flows: DataFrame, batch: int) -> None:
-        found = detect(flows, models, "RT").persist()
+        # ids are numbered per day in one batch only, so live ones follow the event's id
+        found = detect(flows, models, "RT").withColumn("threat_id", F.concat_ws(
+            "-", F.lit("RT"), F.date_format("ts", "yyyyMMdd"), F.col("seq").cast("string"))).persist()
         try:
             write_batch(risk.audit_rows(found), detections_path, batch)
             if queue_path is not None:

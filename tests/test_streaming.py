@@ -26,7 +26,7 @@ def test_throttle_keeps_its_state_between_batches(spark):
     df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
     stream = arriving(spark, [df.where(F.col("seq").between(i * 100, i * 100 + 99)) for i in range(3)])()
     path = scratch_path(spark, "sent")
-    jobs.run(jobs.throttled(stream, seconds=60), path=path)
+    jobs.run(jobs.throttled(stream, seconds=60), scratch_path(spark, "checkpoint"), path=path)
     got = {r["seq"] for r in spark.read.parquet(path).collect()}
     want = {r["seq"] for r in throttle.sent_rows(df, "src_ip", "ts", "seq", 60).collect()}
     assert got == want
@@ -37,7 +37,7 @@ def test_late_row_does_not_open_a_closed_key(spark):
         return spark.createDataFrame(items, "seq long, src_ip string, sec long").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
     stream = arriving(spark, [rows([(1, "a", 1000)]), rows([(2, "a", 900)]), rows([(3, "a", 1060)])])()
     path = scratch_path(spark, "late")
-    jobs.run(jobs.throttled(stream, seconds=60), path=path)
+    jobs.run(jobs.throttled(stream, seconds=60), scratch_path(spark, "checkpoint"), path=path)
     assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == [1, 3]
 
 
@@ -46,7 +46,7 @@ def test_running_counts_read_the_newest_row(spark):
     df = spark.createDataFrame(rows, "seq long, sec long, src_ip string, dst_ip string, dst_port int, anomaly_score double, confidence double, threat_class string")
     df = df.withColumn("ts", F.timestamp_seconds("sec"))
     path = scratch_path(spark, "running")
-    jobs.run(jobs.running_stats(arriving(spark, [df.where("seq < 10"), df.where("seq >= 10")])()), mode="update",
+    jobs.run(jobs.running_stats(arriving(spark, [df.where("seq < 10"), df.where("seq >= 10")])()), scratch_path(spark, "checkpoint"), mode="update",
              each_batch=lambda out, batch: jobs.write_batch(out, path, batch))
     assert {r["src_ip"]: r["events"] for r in jobs.latest_state(spark, path).collect()} == {"a": 10, "b": 10}
 
@@ -62,7 +62,7 @@ def test_rewriting_a_batch_does_not_double_it(spark):
 
 def test_observed_counts_reach_the_progress(spark):
     df = spark.range(7).withColumn("ts", F.timestamp_seconds("id"))
-    query = jobs.start(jobs.observed(arriving(spark, [df.where("id < 3"), df.where("id >= 3")])()), path=scratch_path(spark, "observed"))
+    query = jobs.start(jobs.observed(arriving(spark, [df.where("id < 3"), df.where("id >= 3")])()), scratch_path(spark, "checkpoint"), path=scratch_path(spark, "observed"))
     query.awaitTermination()
     seen = [p["observedMetrics"]["counters"]["events_processed"] for p in query.recentProgress if p["observedMetrics"]]
     assert sum(seen) == 7
@@ -80,3 +80,28 @@ def test_safe_mode_detection_fills_history_and_callback(spark):
     out = spark.read.parquet(store).collect()
     assert len(out) == 6 and {(r["threat_class"], r["recommended_action"]) for r in out} == {("unknown", "monitor")}
     assert counts == [6, 6] and spark.read.parquet(queue).count() == 0
+
+
+def test_jobs_go_on_where_they_stopped(spark):
+    from flowvigil.plans.detect import Models
+    rows = spark.range(60).select(F.col("id").alias("flow_id"), F.timestamp_seconds(F.col("id") + 1000).alias("ts"), F.lit("10.0.0.1").alias("src_ip"),
+                                  F.lit("8.8.8.8").alias("dst_ip"), F.lit(443).alias("dst_port"))
+    files = scratch_path(spark, "arriving")
+    source = lambda: jobs.file_stream(spark, files, rows.schema, files_per_batch=1)
+    places = {n: (scratch_path(spark, f"{n}-checkpoint"), scratch_path(spark, n)) for n in ("store", "live", "dedupe", "totals")}
+
+    def run_all():
+        jobs.run(source(), places["store"][0], each_batch=jobs.ingest(places["store"][1]))
+        jobs.run(source(), places["live"][0], each_batch=jobs.live_detection(Models(), places["live"][1]))
+        jobs.run(jobs.dedupe(source(), "flow_id"), places["dedupe"][0], path=places["dedupe"][1])
+        counts = source().groupBy("src_ip").agg(F.count("*").alias("events"))
+        jobs.run(counts, places["totals"][0], mode="update", each_batch=lambda df, n: jobs.write_batch(df, places["totals"][1], n))
+    rows.where("flow_id < 40").repartition(2).write.parquet(files)
+    run_all()
+    rows.where("flow_id >= 30").coalesce(1).write.mode("append").parquet(files)
+    run_all()
+    read = lambda n: spark.read.parquet(places[n][1])
+    assert read("store").count() == 70 and read("store").select("flow_id").distinct().count() == 60
+    assert read("live").select("threat_id").distinct().count() == 60
+    assert sorted(r.flow_id for r in read("dedupe").collect()) == list(range(60))
+    assert jobs.latest_state(spark, places["totals"][1]).first().events == 70
