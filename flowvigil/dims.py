@@ -109,6 +109,11 @@ C2_PORTS = [4444, 5555, 9001, 6666, 31337]
 EXPLOIT_PORTS = [445, 139, 135, 8443, 9090]
 DAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
+# what responses record, and the sentence of an alert
+QUARANTINE_VLAN, BLOCK_RULE, QUARANTINE_PATH = "quarantine", "auto_block_001", "/quarantine"
+ALERT_CHANNELS = ["email", "slack", "siem"]
+ALERT_SENTENCE = "Detected %s attack from %s targeting %s. Immediate investigation recommended."
+
 ISOLATION_FOREST = {"trees": 200, "sample": 256, "contamination": 0.01, "seed": 42}
 ENSEMBLE_THRESHOLD = 0.7
 DIVERGENCE_THRESHOLD = 0.9

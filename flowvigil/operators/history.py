@@ -27,13 +27,13 @@ def of_source(history: DataFrame, source: str | None) -> DataFrame:
     return history if source is None else history.where(detail("source") == source)
 
 
-def recent_history(history: DataFrame, limit: int = 100, severity: str | None = None) -> DataFrame:
+def recent_history(history: DataFrame, limit: int | None = None, severity: str | None = None) -> DataFrame:
     """The last ``limit`` entries, and only then those of one severity."""
     out = newest(history, limit)
     return out if severity is None else out.where(F.col("severity") == severity)
 
 
-def recent_of_source(history: DataFrame, limit: int, source: str | None) -> DataFrame:
+def recent_of_source(history: DataFrame, limit: int | None, source: str | None) -> DataFrame:
     """The last ``limit`` entries of one source (the filter comes first)."""
     return newest(of_source(history, source), limit)
 
@@ -70,7 +70,7 @@ def _text_detail(history: DataFrame, name: str, default: str) -> Column:
     return F.coalesce(value, F.lit(default)).alias(name)
 
 
-def detailed_history(history: DataFrame, limit: int | None = 50, source: str | None = None) -> DataFrame:
+def detailed_history(history: DataFrame, limit: int | None = None, source: str | None = None) -> DataFrame:
     """Flat history rows with the service of the destination port."""
     rows = recent_of_source(history, limit, source)
     flat = rows.select(
@@ -86,7 +86,7 @@ def detailed_history(history: DataFrame, limit: int | None = 50, source: str | N
         "service_desc": F.when(have, F.col("service_desc")).otherwise("")}).drop("_port", "port_risk")
 
 
-def enhanced_threats(history: DataFrame, limit: int | None = 50, source: str | None = None) -> DataFrame:
+def enhanced_threats(history: DataFrame, limit: int | None = None, source: str | None = None) -> DataFrame:
     """History rows with zero-day, off-hours, weekend, port risk and source address type."""
     rows = recent_of_source(history, limit, source)
     flat = rows.select(

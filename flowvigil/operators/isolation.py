@@ -83,6 +83,8 @@ class IsolationForest:
 
     def raw_score(self) -> Column:
         """2^(-mean path / usual path), near 1 for rows that are easy to isolate."""
+        if not self.trees:  # fitted on no rows
+            return F.lit(None).cast("double")
         trees, usual = self.trees, usual_path(self.sample) or 1.0
 
         @F.pandas_udf("double")
@@ -152,6 +154,8 @@ def fit_isolation_forest(df: DataFrame, columns: Sequence[str], row_id: str, tre
     grown = spread.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
     arrays = [{name: np.array(row[name]) for name in ("feature", "cut", "low", "high", "path")} for row in grown]
     model = IsolationForest(columns, arrays, min(sample, max(total, 1)))
+    if not arrays:
+        return model
     # scored once; the quantile search reads the scores several times
     scored = materialise(df.select(model.raw_score().alias("raw_score")))
     bounds = exact_quantiles(scored.withColumns({"_lo": F.col("raw_score"), "_hi": F.col("raw_score")}),

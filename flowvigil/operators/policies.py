@@ -106,24 +106,39 @@ def compare_versions(metrics: DataFrame, keep: int = 10) -> DataFrame:
         "age": F.row_number().over(newest)}).where(F.col("age") <= keep)
 
 
+# Each level of maintenance buckets is so many times wider than the one before it.
+WIDER, LEVELS = 1024, 3
+
+
 def suppress_in_maintenance(alerts: DataFrame, windows: DataFrame, host: str = "dst_ip",
                             min_confidence: float = 0.75, bucket_seconds: int = 3600) -> DataFrame:
     """Alerts that are confident enough and outside every maintenance window of their host.
 
-    ``windows`` has (host, start, end), both ends included. Both sides are keyed by
-    host and time bucket, so the interval test runs inside small equi-join groups
-    and a busy host is spread over its hours.
+    ``windows`` has (host, start, end), both ends included; a null end is still open, and a
+    window without a start, or with its end before its start, suppresses nothing. Both sides are
+    keyed by host and time bucket. A window takes buckets of ``bucket_seconds`` at its edges
+    only; whole buckets inside it are ``WIDER`` times as long on each further level, so a window
+    has at most a few thousand rows however long it lasts. An alert looks once per level.
     """
     def bucket(c: Column) -> Column:
         return F.floor(F.unix_micros(c) / (bucket_seconds * 1_000_000)).cast("bigint")
 
-    spans = windows.select(
-        F.col(host).alias("_host"), F.col("start").alias("_start"), F.col("end").alias("_end"),
-        F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))).alias("_bucket"))
+    last = F.lit("9999-12-31 23:59:59.999999").cast(alerts.schema["ts"].dataType)
+    spans = windows.select(F.col(host).alias("_host"), F.col("start").alias("_start"), F.coalesce("end", last).alias("_end")).where(
+        F.col("_start") <= F.col("_end"))
+    spans = spans.withColumns({"_from": bucket(F.col("_start")), "_to": bucket(F.col("_end"))})
     kept = alerts.where(F.col("confidence") >= min_confidence)
-    inside = ((F.col(host) == F.col("_host")) & (bucket(F.col("ts")) == F.col("_bucket"))
-              & F.col("ts").between(F.col("_start"), F.col("_end")))
-    return kept.join(spans, inside, "left_anti")
+    for level in range(LEVELS):
+        low, high = F.col("_from"), F.col("_to")
+        first, final = F.floor(low / WIDER).cast("bigint") + 1, F.floor(high / WIDER).cast("bigint") - 1
+        long = (first <= final) & F.lit(level < LEVELS - 1)
+        own = F.when(long, F.concat(F.sequence(low, first * WIDER - 1), F.sequence((final + 1) * WIDER, high))).otherwise(F.sequence(low, high))
+        marks = spans.select("_host", "_start", "_end", F.explode(own).alias("_bucket"))
+        at = F.floor(bucket(F.col("ts")) / (WIDER ** level)).cast("bigint")
+        kept = kept.join(marks, (F.col(host) == F.col("_host")) & (at == F.col("_bucket"))
+                         & F.col("ts").between(F.col("_start"), F.col("_end")), "left_anti")
+        spans = spans.where(long).withColumns({"_from": first, "_to": final})
+    return kept
 
 
 INDICATOR_LEVELS = ("low", "medium", "high", "critical")

@@ -83,14 +83,18 @@ def counter_deltas(counters: DataFrame, host: str = "host", scan: str = "scan_id
     }).drop("_bytes", "_packets")
 
 
-def latest_per_key(df: DataFrame, key: str, order: Sequence[str], keep: int) -> DataFrame:
+def latest_per_key(df: DataFrame, key: str, order: Sequence[str], keep: int, parts: int = 256) -> DataFrame:
     """The newest ``keep`` rows per key.
 
-    ``row_number() <= keep`` is pushed below the shuffle as a per-partition group
-    limit, so a hot key sends at most ``keep`` rows per task.
+    Every key is cut into ``parts`` by the task that read the row; each part keeps its newest
+    rows and the last step sees at most ``parts * keep`` rows of a key. Up to 1000 rows the
+    planner also pushes the limit below the first shuffle, as the rows of a task are in one part.
     """
-    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("recent_no", F.row_number().over(newest)).where(F.col("recent_no") <= keep)
+    newest = [F.col(c).desc() for c in order]
+    parted = df.withColumn("_part", F.spark_partition_id() % parts)
+    some = parted.withColumn("_no", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*newest))).where(
+        F.col("_no") <= keep).drop("_part", "_no")
+    return some.withColumn("recent_no", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).where(F.col("recent_no") <= keep)
 
 
 def sequences(df: DataFrame, key: str, order: Sequence[str], features: Sequence[str],

@@ -58,10 +58,10 @@ query("s4_json_rejects", "select flow_id from flows where flow_id%50 = 0 or flow
 
 query("s5_recent_range_scan", """
 select event_id, ts, user_id from events where ts >= (select max(ts) from events) - interval '5 minutes' order by ts desc limit 10000""")(
-    lambda t: files.recent_range(t.table("events")).select("event_id", "ts", "user_id"))
+    lambda t: files.recent_range(t.table("events").select("event_id", "ts", "user_id"), limit=10_000))
 query("s5_recent_range_scan_day", """
 select event_id, ts, user_id from events where ts >= (select max(ts) from events) - interval '1 day' order by ts desc limit 10000""")(
-    lambda t: files.recent_range(t.table("events"), minutes=1440).select("event_id", "ts", "user_id"))
+    lambda t: files.recent_range(t.table("events").select("event_id", "ts", "user_id"), minutes=1440, limit=10_000))
 
 
 @query("s6_raw_sink", """

@@ -63,8 +63,7 @@ group by a.event_id, a.ip, bad"""
 
 
 def _addresses(t):
-    t.events.createOrReplaceTempView("_address_events")
-    return t.spark.sql(_ADDRESS_SQL.replace("from events", "from _address_events"))
+    return t.spark.sql(_ADDRESS_SQL.replace("from events", "from {events}"), events=t.events)
 
 
 query("i2_ip_type", "select event_id, ip, ip_type from typed_addresses")(

@@ -35,6 +35,26 @@ select flow_id, dst_port, flow_duration, bytes from flows where dst_port in (445
     lambda t: rules.exploit_burst(t.flows, max_seconds=2.0, min_bytes=1000).select(
         "flow_id", "dst_port", "flow_duration", "bytes"))
 
+# the same rules with the published thresholds
+query("g1_port_scan_rule_published", """
+select src_ip, dst_ip, to_timestamp(floor(epoch(ts)/300)*300) at time zone 'UTC' as window_start, count(distinct dst_port) as ports from flows
+where packets <= 3 and bytes <= 200 group by 1, 2, 3 having count(distinct dst_port) >= 20""")(lambda t: rules.port_scan(t.flows))
+query("g2_brute_force_rule_published", """
+select src_ip, to_timestamp(floor(epoch(ts)/300)*300) at time zone 'UTC' as window_start, count(*) as attempts, count(distinct dst_port) as ports
+from flows where dst_port in (22, 3389, 21, 23) group by 1, 2 having count(*) >= 20""")(lambda t: rules.brute_force(t.flows))
+query("g3_ddos_rule_published", """
+select dst_ip, to_timestamp(floor(epoch(ts)/300)*300) at time zone 'UTC' as window_start, count(distinct src_ip) as sources,
+  sum(bytes)/(sum(flow_duration) + 1e-6) as bytes_per_second from flows group by 1, 2
+having count(distinct src_ip) >= 50 and sum(bytes)/(sum(flow_duration) + 1e-6) >= 1e7""", "bytes_per_second:3")(lambda t: rules.ddos(t.flows))
+query("g4_exfil_rule_published", """
+select src_ip, cast(sum(bytes) as bigint) as bytes_out, sum(flow_duration) as seconds, count(*) as flows from flows
+where (src_ip like '192.168.%' or src_ip like '203.0.113.%' or src_ip like '10.%') and dst_ip like '93.%'
+group by 1 having sum(bytes) >= 500000000 and sum(flow_duration) >= 30""", "seconds:4")(lambda t: rules.exfiltration(t.flows))
+query("g6_exploit_burst_rule_published", """
+select flow_id, dst_port, flow_duration, bytes from flows where dst_port in (445, 139, 135, 8443, 9090)
+  and flow_duration <= 1e-1 and bytes >= 50000000""")(
+    lambda t: rules.exploit_burst(t.flows).select("flow_id", "dst_port", "flow_duration", "bytes"))
+
 query("x1_alert_correlation", """
 with g as (select src_ip, ts, seq, risk_score, case when epoch_us(ts) - epoch_us(lag(ts) over w) <= 7200000000 then 0 else 1 end as s
   from scored window w as (partition by src_ip order by ts, seq)),
@@ -108,6 +128,15 @@ select suite, version, accuracy, f1_score, accuracy_change, f1_change, age from
     lambda t: policies.compare_versions(_period_metrics(t).select(
         F.col("model").alias("suite"), F.col("period").alias("version"), "accuracy", "f1_score"), keep=3))
 
+query("x8_maintenance_suppress_long", """
+select seq, dst_ip, confidence from detections d where confidence >= 75e-2 and not exists (
+  select 1 from (select dst_ip, ts as s, case when seq%200 = 0 then ts + interval '9 days' when seq%300 = 100 then null
+      else ts + interval '7000 years' end as e from detections where seq%100 = 0 and ts > timestamp '2024-01-15') as w
+  where w.dst_ip = d.dst_ip and d.ts >= w.s and (w.e is null or d.ts <= w.e))""")(
+    lambda t: policies.suppress_in_maintenance(t.detections, t.detections.where("seq % 100 = 0 and ts > timestamp '2024-01-15'").select(
+        "dst_ip", F.col("ts").alias("start"),
+        F.expr("case when seq % 200 = 0 then ts + interval 9 days when seq % 300 = 100 then null else ts + interval 7000 years end").alias("end"))
+    ).select("seq", "dst_ip", "confidence"))
 query("x8_maintenance_suppress", """
 select seq, dst_ip, confidence from detections d where confidence >= 75e-2 and not exists (
   select 1 from (select dst_ip, ts as s, ts + interval '3 hours' as e from detections where seq%100 = 0) as w

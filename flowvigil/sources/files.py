@@ -107,16 +107,19 @@ def at_literal(moment: datetime, kind: T.DataType) -> Column:
     return F.lit(text).cast(kind)
 
 
-def recent_range(df: DataFrame, at: str = "ts", minutes: float = 5, limit: int = 10_000,
+def recent_range(df: DataFrame, at: str = "ts", minutes: float = 5, limit: int | None = None,
                  as_of: datetime | None = None) -> DataFrame:
-    """Events of the last ``minutes``, newest first, at most ``limit``.
+    """Events of the last ``minutes``, newest first; at most ``limit`` if one is given, ties in time by the other columns.
 
     The bounds are literals, so the range reaches the scan as a pushed filter.
     """
     as_of = newest_time(df, at) if as_of is None else as_of
     end = at_literal(as_of, df.schema[at].dataType)
     start = end - F.expr(f"interval {int(minutes * 60)} seconds")
-    return df.where((F.col(at) >= start) & (F.col(at) <= end)).orderBy(F.col(at).desc()).limit(limit)
+    found = df.where((F.col(at) >= start) & (F.col(at) <= end))
+    others = [f.name for f in df.schema if f.name != at and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    ordered = found.orderBy(F.col(at).desc(), *others)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def recent_cache(df: DataFrame, at: str = "ts", ttl_seconds: int = 3600, as_of: datetime | None = None) -> DataFrame:

@@ -7,10 +7,11 @@ import pytest
 import __spark_entry__ as entry
 import check
 from flowvigil.operators import context, policies, skew, temporal, throttle
+from flowvigil.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.all_queries(), catalog.all_oracles()
 
 # walks in time order need Python; everything else with a check is built-in expressions
 PYTHON = {"r7_notify_throttle", "r7_notify_throttle_day", "st6_throttle_state"}
@@ -73,5 +74,5 @@ def test_entry(spark):
 
 
 def test_names(spark):
-    assert set(ORACLES) <= set(QUERIES)
-    assert not [k for k in QUERIES if "pipeline" in k or k.startswith("op")]
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
