@@ -79,16 +79,20 @@ def unregister_feature(name: str) -> None:
     _CUSTOM.pop(name, None)
 
 
-def custom_features(events: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Join the registered groups to the events, each on its own key."""
+def custom_features(events: DataFrame, names: Iterable[str] | None = None, row_id: str = "event_id",
+                    source: DataFrame | None = None) -> DataFrame:
+    """Join the registered groups (all, or ``names``) to the events, each on its own key.
+
+    The groups are made from ``source``, or from the events themselves.
+    """
     out = events
     for name in (_CUSTOM if names is None else names):
         fn, key = _CUSTOM[name]
-        extra = fn(events)
-        if key == "event_id":
+        extra = fn(events if source is None else source)
+        if key == row_id:
             out = out.join(extra, key, "left")
         else:
-            out = attach_by_key(out, extra, key, "event_id")
+            out = attach_by_key(out, extra, key, row_id)
     return out
 
 
@@ -97,16 +101,18 @@ def custom_features(events: DataFrame, names: Iterable[str] | None = None) -> Da
 NETWORK_COLUMNS = ["packet_count", "byte_count", "duration", "packets_per_second", "bytes_per_second",
                    "avg_packet_size", "protocol_entropy", "port_entropy", "unique_dst_ips",
                    "unique_dst_ports", "packet_size_variance", "packet_size_std"]
+CONTEXT_COLUMNS = ["geo_encoded", "department_encoded", "asset_criticality", "unique_devices", "device_consistency"]
 MODEL_COLUMNS = NETWORK_COLUMNS + temporal.TIME_COLUMNS  # the default 21-column model input
 
 
 def assemble_features(flows: DataFrame, user_events: DataFrame | None = None, *,
-                      groups: Iterable[str] = ("network", "user", "temporal"),
-                      row_id: str = "flow_id") -> DataFrame:
+                      groups: Iterable[str] = ("network", "user", "temporal", "contextual"),
+                      row_id: str = "flow_id", custom: Iterable[str] | None = None) -> DataFrame:
     """One row per event with the enabled groups joined on their real keys; null → 0.
 
     ``user_events`` holds the user-behaviour columns (``event_id``, ``user_id``, ...)
-    of the same events; needed for the user group only.
+    of the same events; needed for the user and contextual groups only. ``custom`` names the
+    registered groups to add (all when None); they are made from ``flows``.
     """
     groups = set(groups)
     out = flows.select(row_id, "ts", *[c for c in ("user_id", "connection_id") if c in flows.columns])
@@ -132,12 +138,20 @@ def assemble_features(flows: DataFrame, user_events: DataFrame | None = None, *,
         names = [c for c in per_user.columns if c not in ("user_id", "event_count")]
         out = attach_by_key(out, per_user.drop("event_count"), "user_id", row_id, hot=busy)
         added += names
+    if "contextual" in groups and user_events is not None:
+        coded = contextual_features(user_events)
+        names = [c for c in CONTEXT_COLUMNS if c in coded.columns]
+        out = out.join(coded.select(F.col("event_id").alias(row_id), *names), row_id, "left")
+        added += names
+    before = set(out.columns)
+    out = custom_features(out, custom, row_id, flows)
+    added += [c for c in out.columns if c not in before]
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in added})
 
 
 def model_features(flows: DataFrame) -> DataFrame:
     """The 21-column model input, one row per event."""
-    return assemble_features(flows, groups=("network", "clock")).select(
+    return assemble_features(flows, groups=("network", "clock"), custom=()).select(
         "flow_id", *[F.col(c).cast("double").alias(c) for c in MODEL_COLUMNS])
 
 

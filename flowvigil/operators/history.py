@@ -201,6 +201,11 @@ def system_counters(history: DataFrame, events: DataFrame, alerts: DataFrame) ->
         alerts.agg(F.count("*").alias("n")).scalar().alias("alerts_generated"))
 
 
+def worth_alert() -> Column:
+    """Medium or worse, or risk above 30."""
+    return F.col("severity").isin("medium", "high", "critical") | (F.col("risk_score") > 30)
+
+
 def alert_filter(detections: DataFrame) -> DataFrame:
-    """Rows worth an alert: medium or worse, or risk above 30."""
-    return detections.where(F.col("severity").isin("medium", "high", "critical") | (F.col("risk_score") > 30))
+    """Rows worth an alert."""
+    return detections.where(worth_alert())

@@ -138,8 +138,10 @@ def fit_isolation_forest(df: DataFrame, columns: Sequence[str], row_id: str, tre
     """Grow the trees in parallel and set the cut at the contamination quantile.
 
     Cuts are drawn between a column's own bounds, so scaling the input first would
-    not change the trees.
+    not change the trees. A forest fitted on no rows has no trees and scores null.
     """
+    if trees < 1:
+        raise ValueError("a forest needs a tree")
     columns = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -80,14 +80,14 @@ def _given_centres(t):
 @query("d6_mahalanobis")
 def _mahalanobis(t):
     features = _features(t)
-    model = kmeans.fit_kmeans(features, context.NETWORK_COLUMNS, "flow_id", restarts=2, metric="mahalanobis")
+    model = kmeans.fit_kmeans(features, context.NETWORK_COLUMNS, "flow_id", metric="mahalanobis")
     return model.score(features, "flow_id").drop("distances")
 
 
 @query("d7_cluster_info")
 def _cluster_info(t):
     features = _features(t)
-    model = kmeans.fit_kmeans(features, COLUMNS, "flow_id", restarts=2)
+    model = kmeans.fit_kmeans(features, COLUMNS, "flow_id")
     return model.with_distances(features, "flow_id").withColumns(
         {"threshold": F.lit(model.threshold), "n_clusters": F.lit(len(model.centres))})
 
@@ -95,7 +95,7 @@ def _cluster_info(t):
 @query("d8_silhouette")
 def _silhouette(t):
     features = _features(t)
-    model = kmeans.fit_kmeans(features, COLUMNS, "flow_id", restarts=2, silhouette=True)
+    model = kmeans.fit_kmeans(features, COLUMNS, "flow_id", silhouette=True)
     return t.spark.createDataFrame([(len(model.centres), float(model.cost), float(model.silhouette))],
                                    "n_clusters int, cost double, silhouette double")
 
@@ -104,7 +104,7 @@ def _silhouette(t):
 def _normal_only(t):
     labelled = materialise(context.model_features(t.flows).join(t.flows.select("flow_id", "label"), "flow_id"))
     split = clean.stratified_split(labelled, "label", "flow_id")
-    model = kmeans.fit_kmeans(split.where("not held_out and label = 0"), COLUMNS, "flow_id", restarts=2)
+    model = kmeans.fit_kmeans(split.where("not held_out and label = 0"), COLUMNS, "flow_id")
     held_out = split.where("held_out")
     scored = model.score(held_out, "flow_id").join(held_out.select("flow_id", F.col("label").alias("y_true")), "flow_id")
     return evaluate.binary_metrics(scored.withColumn("y_pred", F.col("is_anomaly").cast("int")))

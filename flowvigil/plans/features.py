@@ -251,7 +251,35 @@ from flows f join event_rhythm r on f.flow_id = r.event_id
 left join connection_features c on f.connection_id = c.connection_id
 left join user_profile u on f.user_id = u.user_id""",
       f"{_CYCLE} time_since_last_event {_NETWORK_ROUNDS} {_USER_ROUNDS}")(
-    lambda t: context.assemble_features(t.flows, t.user_events).drop("ts"))
+    lambda t: context.assemble_features(t.flows, t.user_events, groups=("network", "user", "temporal"), custom=()).drop("ts"))
+
+
+@query("a1_feature_join_all", f"""
+select f.flow_id, f.user_id, f.connection_id, {_PARTS_SQL}, {_FLAGS_SQL}, {_CYCLE_SQL},
+  time_since_last_event, events_last_hour, events_last_day, {_A1_COLUMNS},
+  geo_encoded, department_encoded, asset_criticality, unique_devices, device_consistency, mean_packets
+from flows f join event_rhythm r on f.flow_id = r.event_id
+left join connection_features c on f.connection_id = c.connection_id
+left join user_profile u on f.user_id = u.user_id
+left join (select event_id as coded_id, geo_encoded, department_encoded, coalesce(score, 0e0) as asset_criticality from user_events
+  join (select g, cast(row_number() over (order by g) - 1 as int) as geo_encoded
+    from (select distinct geolocation as g from user_events) as a) as gc on geolocation = g
+  join (select d, cast(row_number() over (order by d) - 1 as int) as department_encoded
+    from (select distinct department as d from user_events) as b) as dc on department = d
+  left join asset_scores s on user_events.asset_id = s.asset_id) as x on f.flow_id = coded_id
+left join (select user_id as device_user, count(*) as unique_devices, max(n)*1e0/sum(n) as device_consistency
+  from (select user_id, device_id, count(*) as n from user_events group by 1, 2) as dc group by 1) as dv on f.user_id = device_user
+left join (select connection_id as own_connection, avg(packets) as mean_packets from flows group by 1) as p
+  on f.connection_id = own_connection""",
+       f"{_CYCLE} time_since_last_event {_NETWORK_ROUNDS} {_USER_ROUNDS} device_consistency mean_packets")
+def _all_groups(t):
+    """Every group of the library and a registered one."""
+    context.register_feature("mean_packets", lambda flows: flows.groupBy("connection_id").agg(
+        F.avg("packets").alias("mean_packets")), "connection_id")
+    try:
+        return context.assemble_features(t.flows, t.user_events, custom=["mean_packets"]).drop("ts")
+    finally:
+        context.unregister_feature("mean_packets")
 
 
 @query("a2_standard_scale", """

@@ -1,7 +1,6 @@
 """Queries of classification, the whole detection, and the model store.
 
-The published settings are the defaults of the operators; the queries here use fewer
-trees and rounds, so that a check of all queries ends in minutes.
+All models are fitted with the published settings, which are the defaults of the operators.
 """
 
 from __future__ import annotations
@@ -37,20 +36,21 @@ def _predicted(model, rows, classes):
 @query("m1_random_forest")
 def _forest(t):
     rows, classes = _vectors(t)
-    return _predicted(classify.random_forest("wide", numTrees=50, maxDepth=10).fit(rows), rows, classes)
+    return _predicted(classify.random_forest("wide").fit(rows), rows, classes)
 
 
 @query("m1_random_forest_balanced")
 def _forest_balanced(t):
     rows, classes = _vectors(t)
     weighted = classify.class_weights(rows)
-    return _predicted(classify.random_forest("balanced", numTrees=30, maxDepth=10).fit(weighted), rows, classes)
+    return _predicted(classify.random_forest("balanced").fit(weighted), rows, classes)
 
 
 @query("m2_boosted_trees")
 def _boosted(t):
     rows, classes = _vectors(t)
-    model = classify.boosted_trees("deep", len(classes), maxIter=3, maxDepth=4).fit(rows)
+    rows = materialise(rows)
+    model = classify.boosted_trees("deep", len(classes), parallelism=len(classes)).fit(rows)
     return _predicted(model, rows, classes)
 
 
@@ -58,28 +58,28 @@ def _boosted(t):
 def _boosted_binary(t):
     rows, _ = _vectors(t)
     halves = rows.withColumn("label_code", (F.col("label_code") >= 5).cast("double"))
-    model = classify.boosted_trees("leafy", maxIter=10).fit(halves)
+    halves = materialise(halves)
+    model = classify.boosted_trees("leafy").fit(halves)
     return _predicted(model, halves, ["low", "high"])
 
 
 @query("m5_feature_importance")
 def _importance(t):
     rows, _ = _vectors(t)
-    return classify.feature_importance(classify.random_forest("wide", numTrees=50, maxDepth=10).fit(rows), DIMENSIONS)
+    return classify.feature_importance(classify.random_forest("wide").fit(rows), DIMENSIONS)
 
 
 @query("m6_cross_validation")
 def _cross(t):
     rows, _ = _vectors(t)
-    return classify.cross_validate(materialise(rows), "vec_id", {"random_forest": classify.random_forest("wide", numTrees=20, maxDepth=8)})
+    return classify.cross_validate(materialise(rows), "vec_id", {"random_forest": classify.random_forest("wide")})
 
 
 @query("m7_model_search")
 def _search(t):
     labelled = context.model_features(t.flows).join(
         t.flows.select("flow_id", F.col("label").cast("double").alias("label_code")), "flow_id")
-    return classify.model_search(materialise(labelled), context.MODEL_COLUMNS, "flow_id",
-                                 forest={"numTrees": 20, "maxDepth": 8}, boosting={"maxIter": 10})
+    return classify.model_search(materialise(labelled), context.MODEL_COLUMNS, "flow_id")
 
 
 @query("r10_detect")
@@ -89,8 +89,8 @@ def _detect(t):
     classes = classify.fit_label_codes(labelled, "threat_class")
     training = classify.add_label_code(classify.vectorise(labelled, context.MODEL_COLUMNS), "threat_class", classes)
     models = Models(
-        isolation.fit_isolation_forest(labelled, context.MODEL_COLUMNS, "flow_id", trees=50),
-        classify.random_forest("wide", numTrees=10, maxDepth=6).fit(training.select("features", "label_code")), classes)
+        isolation.fit_isolation_forest(labelled, context.MODEL_COLUMNS, "flow_id"),
+        classify.random_forest("wide").fit(training.select("features", "label_code")), classes)
     return detect(t.flows, models)
 
 
@@ -99,7 +99,7 @@ select flow_id as seq, 'THR-' || strftime(ts, '%Y%m%d') || '-' || lpad(cast(row_
     partition by strftime(ts, '%Y%m%d') order by ts, flow_id) - 1 as varchar), 6, '0') as threat_id, ts, src_ip, dst_ip, dst_port,
   false as is_anomaly, 0e0 as anomaly_score, 'unknown' as threat_class, 0e0 as classification_confidence,
   28e0 as risk_score, 'low' as severity, 'monitor' as recommended_action, 'executed' as status from flows""", "risk_score")(
-    lambda t: detect(t.flows, Models()))
+    lambda t: detect(t.flows.drop("src_port", "protocol"), Models()))
 
 
 @query("s10_model_store")

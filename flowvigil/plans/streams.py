@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowvigil.operators import context, isolation, risk
+from flowvigil.operators import context, history, isolation, risk
 from flowvigil.plans.detect import Models
 from flowvigil.plans.registry import query
 from flowvigil.plans.response import _SENT_SQL
@@ -54,7 +54,7 @@ def _ingest(t):
 @query("st2_live_detect")
 def _live(t):
     features = materialise(context.model_features(t.flows))
-    models = Models(isolation.fit_isolation_forest(features, context.MODEL_COLUMNS, "flow_id", trees=20))
+    models = Models(isolation.fit_isolation_forest(features, context.MODEL_COLUMNS, "flow_id"))
     path = scratch_path(t.spark, "live")
     jobs.run(view_over(_split_stream(t, 2), "flows"), _checkpoint(t, "live"), each_batch=jobs.live_detection(models, path))
     return t.spark.read.parquet(path)
@@ -70,11 +70,32 @@ def _live_safe(t):
                                              "risk_score", "severity", "recommended_action", "status")
 
 
+def _live_history(t):
+    path, log = scratch_path(t.spark, "live-seen"), scratch_path(t.spark, "live-history")
+    jobs.run(view_over(_split_stream(t, 3), "flows"), _checkpoint(t, "live-history"),
+             each_batch=jobs.live_detection(Models(), path, history_path=log))
+    return t.spark.read.parquet(log)
+
+
+query("st2_live_history_stats", """
+select count(*) as total_actions, cast(0 as bigint) as high_risk_threats, cast(0 as bigint) as blocked_ips, count(*) as monitored_flows
+from flows""")(lambda t: history.stats(_live_history(t), "realtime"))
+query("st2_live_history_sources", "select src_ip as ip, count(*) as count from flows group by 1 order by 2 desc, 1 limit 10")(
+    lambda t: history.top_counts(_live_history(t), "src_ip", "ip"))
+query("st2_live_history_detailed", """
+select flow_id as seq, ts as timestamp, 'RT-' || strftime(ts, '%Y%m%d') || '-' || cast(flow_id as varchar) as threat_id,
+  'low' as severity, 'monitor' as action, 28e0 as risk_score, src_ip, dst_ip, cast(src_port as varchar) as src_port,
+  cast(protocol as varchar) as protocol, 'unknown' as threat_class, 'realtime' as source, 'unknown' as process,
+  cast(dst_port as varchar) as dst_port, coalesce(service, 'UNKNOWN') as service,
+  coalesce(service_desc, 'Unknown Service') as service_desc
+from flows left join ports on dst_port = port""", "risk_score")(lambda t: history.detailed_history(_live_history(t)))
+
 query("st3_live_alerts", """
-select seq, ts, threat_class, src_ip as source_ip, dst_ip as destination, severity,
+select threat_id, dst_port, risk_score, action, source, severity in ('medium', 'high', 'critical') or risk_score > 30 as logged,
+  seq, ts, threat_class, src_ip as source_ip, dst_ip as destination, severity,
   'Detected ' || threat_class || ' attack from ' || src_ip || ' targeting ' || dst_ip
     || '. Immediate investigation recommended.' as description
-from scored where severity in ('medium', 'high', 'critical') or risk_score > 30""")(
+from scored""", "risk_score")(
     lambda t: _sunk(t, jobs.live_alerts(view_over(_split_stream(t), "detections")), "alerts"))
 
 query("st4_window_features", """

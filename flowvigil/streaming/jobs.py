@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from flowvigil.functions.stats import entropy_from_counts, ratio, zero_if_null
 from flowvigil.operators import risk
-from flowvigil.operators.history import alert_filter
+from flowvigil.operators.history import worth_alert
 from flowvigil.operators.throttle import NEVER, walk
 from flowvigil.plans.detect import Models, detect
 from flowvigil.sources.sinks import TOPIC, topic_records
@@ -38,9 +38,23 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, pattern: str
 
 
 def topic_stream(spark: SparkSession, servers: str, schema: StructType, topic: str = TOPIC) -> DataFrame:
-    """Records of a topic (needs the Kafka package on the cluster)."""
+    """Records of a topic (needs the Kafka package on the cluster), as ``topic_rows`` gives them."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+    return topic_rows(raw, schema)
+
+
+def topic_rows(raw: DataFrame, schema: StructType) -> DataFrame:
+    """The fields of JSON records in ``value``, and ``_bad``: null, or the text of a record that fails.
+
+    A record fails when it is no JSON object or a field has another type; a null record has the
+    text ''. ``files.accepted`` and ``files.rejected`` part the two.
+    """
+    text = F.col("value").cast("string")
+    record = raw.select(text.alias("_text"), F.from_json(text, StructType([*schema.fields, StructField("_corrupt", StringType())]), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_r"))
+    failed = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    return record.select(*[F.col("_r").getField(f.name).alias(f.name) for f in schema.fields],
+                         F.when(failed, F.coalesce("_text", F.lit(""))).alias("_bad"))
 
 
 def start(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None] | None = None,
@@ -82,17 +96,24 @@ def ingest(store_path: str, publish_to: Callable[[DataFrame, int], None] | None
 
 
 def live_detection(models: Models, detections_path: str, queue_path: str | None = None,
-                   callback: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch function: flows through detection with frozen models; history and approval queue are kept.
+                   callback: Callable[[DataFrame, int], None] | None = None, history_path: str | None = None,
+                   source: str = "realtime") -> Callable[[DataFrame, int], None]:
+    """Batch function: flows through detection with frozen models; detections and approval queue are kept.
 
-    ``callback`` gets the detections of each batch.
+    ``history_path`` gets the nested entries that the reports of ``operators.history`` read, and
+    ``callback`` the detections of each batch. ``source`` is named in flows that name none.
     """
     def each(flows: DataFrame, batch: int) -> None:
+        if "source" not in flows.columns:
+            flows = flows.withColumn("source", F.lit(source))
         # ids are numbered per day in one batch only, so live ones follow the event's id
         found = detect(flows, models, "RT").withColumn("threat_id", F.concat_ws(
             "-", F.lit("RT"), F.date_format("ts", "yyyyMMdd"), F.col("seq").cast("string"))).persist()
         try:
             write_batch(risk.audit_rows(found), detections_path, batch)
+            if history_path is not None:
+                carried_out = risk.audit_rows(found).withColumnRenamed("recommended_action", "action")
+                write_batch(risk.history_entries(carried_out), history_path, batch)
             if queue_path is not None:
                 write_batch(risk.approval_queue(found), queue_path, batch)
             if callback is not None:
@@ -103,8 +124,10 @@ def live_detection(models: Models, detections_path: str, queue_path: str | None
 
 
 def live_alerts(detections: DataFrame) -> DataFrame:
-    """One alert per detection worth one; a plain projection, so no state."""
-    return risk.alert_record(alert_filter(risk.score_detections(detections)))
+    """One alert per detection, ``logged`` where it is worth a line in the log; a plain projection, so no state."""
+    scored = risk.score_detections(detections).withColumns({"threat_id": risk.event_threat_id(), "logged": worth_alert()})
+    more = [c for c in ("threat_id", "dst_port", "risk_score", "action", "process", "source", "logged") if c in scored.columns]
+    return risk.alert_record(scored, *more)
 
 
 def window_features(flows: DataFrame, window: str = "300 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -158,27 +181,36 @@ def latest_state(spark: SparkSession, path: str, by: str = "src_ip") -> DataFram
     return newest.select(by, "r.*")
 
 
-def throttled(alerts: DataFrame, key: str = "src_ip", at: str = "ts", row_id: str = "seq", seconds: float = 60) -> DataFrame:
+def throttled(alerts: DataFrame, key: str = "src_ip", at: str = "ts", row_id: str = "seq", seconds: float = 60,
+              delay: str = "10 minutes") -> DataFrame:
     """At most one row per key and cool-down, with the last sent time as state.
 
     The rows of a key are put in time order inside each micro-batch; a row that
-    arrives late never opens a closed key again.
+    arrives late never opens a closed key again. Rows later than the watermark ``delay`` are
+    left out, and a key's state goes when the watermark has passed its cool-down: a row that
+    comes after that finds the key open anyway.
     """
     gap = int(seconds * 1_000_000)
-    rows = alerts.select(key, at, row_id, F.unix_micros(at).alias("_t"))
+    rows = alerts.withWatermark(at, delay).select(key, at, row_id, F.unix_micros(at).alias("_t"))
     schema = rows.drop("_t").schema
 
     def step(_, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(pdfs)).sort_values(["_t", row_id])
         open_at = state.get[0] if state.exists else NEVER
         times = pdf["_t"].to_numpy()
         picked = walk(times, open_at, gap)
         if len(picked):
-            state.update((int(times[picked[-1]]) + gap,))
+            open_at = int(times[picked[-1]]) + gap
+            state.update((open_at,))
+        if state.exists:
+            state.setTimeoutTimestamp(max(open_at // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pdf.iloc[np.asarray(picked, dtype=int)][[key, at, row_id]]
 
     return rows.groupBy(key).applyInPandasWithState(
-        step, schema, "open_at long", "append", GroupStateTimeout.NoTimeout)
+        step, schema, "open_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe(events: DataFrame, row_id: str = "event_id", at: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -196,6 +228,6 @@ def correlated_alerts(alerts: DataFrame, key: str = "src_ip", seconds: int = 300
         key, F.col("w.start").alias("first_seen"), "alerts", "max_risk_score")
 
 
-def observed(stream: DataFrame, name: str = "counters") -> DataFrame:
-    """Count rows and alerts of every micro-batch without a pass of their own."""
-    return stream.observe(name, F.count("*").alias("events_processed"))
+def observed(stream: DataFrame, name: str = "counters", **counted: Column) -> DataFrame:
+    """Count the rows of every micro-batch, and those where each condition ``counted`` holds, without a pass of their own."""
+    return stream.observe(name, F.count("*").alias("events_processed"), *[F.count_if(c).alias(n) for n, c in counted.items()])

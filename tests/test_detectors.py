@@ -157,3 +157,10 @@ def test_model_search_marks_one_best(spark, cloud):
                                 contaminations={"few": (20, 0.05), "broken": (0, 0.5)}).toPandas().set_index("model")
     assert out.is_best.sum() == 1 and out.loc["random_forest", "f1_score"] > 0.9
     assert out.loc["broken", "f1_score"] == 0.0 and out.loc["broken", "error"]
+
+
+def test_forest_of_no_rows_scores_null(spark):
+    none = spark.createDataFrame([], "id long, a double")
+    model = isolation.fit_isolation_forest(none, ["a"], "id", trees=5)
+    row = model.score(spark.createDataFrame([(1, 0.5)], "id long, a double")).first()
+    assert model.trees == [] and row.raw_score is None and row.is_anomaly is None

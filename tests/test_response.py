@@ -125,3 +125,25 @@ def test_rules_on_signatures(spark):
     assert [r["src_ip"] for r in rules.exfiltration(df).collect()] == ["10.0.0.9"]
     assert [r["flow_id"] for r in rules.c2_ports(df).collect()] == [301]
     assert [r["flow_id"] for r in rules.exploit_burst(df).collect()] == [302]
+
+
+def test_maintenance_of_any_length(spark):
+    times = ["2023-12-31 23:59:59", "2024-01-01 00:00:00", "2024-02-29 12:00:00", "2124-06-01 00:30:00", "9000-01-01 00:00:00"]
+    alerts = spark.createDataFrame([(i, h, t, 0.9) for i, t in enumerate(times) for h in ("a", "b", "c", "d", "e")],
+                                   "seq int, dst_ip string, t string, confidence double").withColumn("ts", F.col("t").cast("timestamp"))
+    rows = [("a", "2024-01-01 00:00:00", None), ("b", "2024-01-01 00:00:00", "9999-12-31 00:00:00"), ("c", "2024-01-01 00:00:01", "2124-06-01 00:29:59"),
+            ("d", None, "2124-06-01 00:00:00"), ("d", "2124-06-02 00:00:00", "2024-01-01 00:00:00"), ("e", "2024-02-29 12:00:00", "2024-02-29 12:00:00")]
+    windows = spark.createDataFrame(rows, "dst_ip string, s string, e string").select(
+        "dst_ip", F.col("s").cast("timestamp").alias("start"), F.col("e").cast("timestamp").alias("end"))
+    left = {h: sorted(r.seq for r in policies.suppress_in_maintenance(alerts, windows).where(F.col("dst_ip") == h).collect()) for h in "abcde"}
+    assert left == {"a": [0], "b": [0], "c": [0, 1, 3, 4], "d": [0, 1, 2, 3, 4], "e": [0, 1, 3, 4]}
+
+
+def test_matrix_of_too_many_classes_raises(spark):
+    import pytest
+
+    from flowvigil.operators import evaluate
+    rows = spark.range(30).select(F.col("id").cast("string").alias("actual"), F.lit("1").alias("predicted"))
+    with pytest.raises(ValueError, match="more than 20"):
+        evaluate.confusion_matrix(rows, max_classes=20)
+    assert evaluate.confusion_matrix(rows, max_classes=30).count() == 900

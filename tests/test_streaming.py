@@ -105,3 +105,41 @@ def test_jobs_go_on_where_they_stopped(spark):
     assert read("live").select("threat_id").distinct().count() == 60
     assert sorted(r.flow_id for r in read("dedupe").collect()) == list(range(60))
     assert jobs.latest_state(spark, places["totals"][1]).first().events == 70
+
+
+def test_throttle_state_goes_behind_the_watermark(spark):
+    def rows(items):
+        return spark.createDataFrame(items, "seq long, src_ip string, sec long").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    batches = [[(1, "a", 1000), (2, "b", 1010)], [(3, "b", 1030), (4, "c", 5000)], [(5, "c", 5010), (6, "a", 5020)], [(7, "b", 9000)], [(8, "b", 9030)]]
+    stream = arriving(spark, [rows(b) for b in batches])()
+    path = scratch_path(spark, "expired")
+    query = jobs.start(jobs.throttled(stream, seconds=60, delay="1 minute"), scratch_path(spark, "checkpoint"), path=path)
+    query.awaitTermination()
+    assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == [1, 2, 4, 6, 7]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only b is still closed
+
+
+def test_bad_topic_records_keep_their_text(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from flowvigil.sources import files
+    schema = StructType([StructField("flow_id", LongType()), StructField("src_ip", StringType())])
+    raw = spark.createDataFrame([('{"flow_id": 1, "src_ip": "10.0.0.1"}',), ("no json",), ('{"flow_id": "x"}',), (None,), ('{"src_ip": "a"}',)], "value string")
+    rows = jobs.topic_rows(raw, schema)
+    assert {(r.flow_id, r.src_ip) for r in files.accepted(rows).collect()} == {(1, "10.0.0.1"), (None, "a")}
+    assert sorted(r._bad for r in files.rejected(rows).select("_bad").collect()) == ["", "no json", '{"flow_id": "x"}']
+
+
+def test_live_history_can_be_read_by_the_reports(spark):
+    from flowvigil.operators import history
+    from flowvigil.plans.detect import Models
+    flows = spark.createDataFrame([(1, 1000, "10.0.0.1", "8.8.8.8", 443, 5555, 6, "curl")],
+                                  "flow_id long, sec long, src_ip string, dst_ip string, dst_port int, src_port int, protocol int, process string"
+                                  ).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    log = scratch_path(spark, "log")
+    jobs.live_detection(Models(), scratch_path(spark, "seen"), history_path=log)(flows, 0)
+    kept = spark.read.parquet(log)
+    row = history.detailed_history(kept).first()
+    assert (row.source, row.process, row.src_port, row.protocol, row.service) == ("realtime", "curl", "5555", "6", "HTTPS")
+    assert history.stats(kept, "realtime").first().total_actions == 1
+    assert history.stats(kept, "simulation").first().total_actions == 0
