@@ -148,7 +148,14 @@ def test_latest_per_key_uses_a_group_limit_before_the_shuffle(spark):
     out = temporal.latest_per_key(df, "k", ["id"], 4)
     assert sorted(r["id"] for r in out.collect()) == list(range(88, 100))
     plan = out._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4  # on both sides of the shuffle, by part of a key and then by key
+
+
+def test_latest_per_key_beyond_the_planner_limit(spark):
+    df = spark.range(0, 9000, 1, 16).select(F.lit(1).alias("k"), "id")
+    for parts in (1, 3, 256):
+        out = temporal.latest_per_key(df, "k", ["id"], 1500, parts)
+        assert [(r["id"], r["recent_no"]) for r in out.orderBy("recent_no").collect()] == [(8999 - i, i + 1) for i in range(1500)]
 
 
 def test_codes(spark):
