@@ -28,8 +28,14 @@ BINS, ROWS = 128, 4
 _EMPTY = np.iinfo(np.uint64).max
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 LAST_ID = np.iinfo(np.int64).max
-# Members of a star or of a block of a bucket that a task confirms at a time.
+# Members of a star or of a block of a bucket that a task confirms at a time, and their shingles (8 bytes each).
 STAR_PART = 400
+STAR_SHINGLES = 4 << 20
+
+
+def _parts(size: str) -> F.Column:
+    """In how many parts a group is cut: by its members, and by the shingles that they have together."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(STAR_PART)), F.ceil(F.sum(size) / F.lit(STAR_SHINGLES))).cast("int")
 
 
 def _sets(block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +96,11 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (v, c) whose sets have 100 * intersection >= percent * union."""
+    """The pairs (v, c) of ``pairs`` (v, c, n: shingles of v) whose sets have 100 * intersection >= percent * union."""
     needed = pairs.select("v").union(pairs.select("c")).distinct()
     ids = F.coalesce("doc_id", F.lit(LAST_ID))
     sets = materialise(full_sets(docs.select("doc_id", "text").join(needed, ids == F.col("v"), "left_semi"), shingle))
-    parts = pairs.groupBy("c").agg(F.expr(f"cast(ceil(count(*) / {STAR_PART}) as int)").alias("parts"))
+    parts = pairs.groupBy("c").agg(_parts("n").alias("parts"))
     centres = (parts.join(sets.withColumnRenamed("v", "c"), "c")
                .select(F.col("c").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("kpart"), F.col("h").alias("kh")))
     members = (pairs.join(parts, "c").join(sets, "v")
@@ -151,7 +157,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int
     possible = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = classes.select(F.col("v").alias("c"), F.col("n_shingles").alias("cn"))
     pairs = members.filter("v > c").select("v", "c", "n").distinct().join(sizes, "c").filter(possible(F.col("n"), F.col("cn")))
-    links = materialise(confirm(materialise(pairs.select("v", "c").distinct()), docs, shingle, percent))
+    links = materialise(confirm(materialise(pairs.select("v", "c", "n").distinct()), docs, shingle, percent))
     groups = materialise(components(links))
     named = members.select("bucket", "v", "n").join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
     split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
@@ -205,12 +211,12 @@ def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, p
 
     Shingles that only one of these members has are in no intersection, so copies that were
     each edited on their own drop out by the sizes of what is left of their sets. A bucket is cut
-    into blocks of STAR_PART members; a task looks at one pair of blocks, first without the
+    into blocks by members and shingles; a task looks at one pair of blocks, first without the
     sets, then with the sets of those members that have a pair left.
     """
     rest = named.join(own_shingles(named, docs, shingle), "v", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     rest = materialise(rest.filter(100 * F.col("most") >= percent * F.col("n")))
-    parts = rest.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {STAR_PART}) as int)").alias("parts"), F.min("component").alias("a"),
+    parts = rest.groupBy("bucket").agg(_parts("n").alias("parts"), F.min("component").alias("a"),
                                        F.max("component").alias("b")).filter("a < b").drop("a", "b")
     bands = classes.select(F.col("v").alias("bv"), "bands")
     blocks = (rest.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
