@@ -31,7 +31,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII (5): personal data is replaced by its kind; n_chars follows the new text."""
     out = private.redact(docs)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not in ``gone`` (null ids match each other)."""
-    gone = gone.distinct().withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows whose id is not in ``gone`` (null ids match each other), whatever the other columns of ``docs`` are called."""
+    docs, gone = docs.alias("docs"), gone.distinct().alias("gone")
+    return docs.join(gone, F.col("docs.doc_id").eqNullSafe(F.col("gone.doc_id")), "left_anti")
 
 
 STAGES = [("quality_rules", keep_good), ("near_dedup", keep_one_of_each), ("decontamination", keep_uncontaminated),

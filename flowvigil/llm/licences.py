@@ -167,6 +167,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
     def run(block):
         made, hashes, vocabulary = automaton(templates, phrases)
         sizes = [(n, len(t.split())) for n, t in templates]
+        shortest = min([LEAST, *(len(p.split()) for p, _ in phrases)])
         texts = Texts(block["text"]).lowered()
         starts, ends, off = words(texts, LICENCE_WORD)
         h = word_hashes(texts, starts, ends)
@@ -177,7 +178,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
         edge[off] = True
         begin = np.flatnonzero(known & (edge[:-1] | ~np.concatenate([[False], known[:-1]])))
         stop = np.flatnonzero(known & (edge[1:] | ~np.concatenate([known[1:], [False]]))) + 1
-        long = stop - begin > 1
+        long = stop - begin >= shortest
         begin, stop = begin[long], stop[long]
         doc = np.searchsorted(off, begin, "right") - 1
         found: dict[tuple[int, int], list] = {}

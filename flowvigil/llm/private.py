@@ -143,13 +143,17 @@ def mask_text(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with personal data in ``text`` replaced by its kind; a null text stays null."""
-    fields = docs.schema
+    """All columns of ``docs`` with personal data in ``text`` replaced by its kind; a null text stays null.
+
+    The other columns may have any names; they go through the tasks by position.
+    """
+    at = docs.columns.index("text")
+    named = docs.toDF(*("text" if i == at else f"c{i}" for i in range(len(docs.columns))))
 
     def run(block):
         new = pa.array([None if t is None else mask_text(t) for t in block["text"].to_pylist()], block["text"].type)
-        return pa.Table.from_batches([block]).set_column(block.schema.get_field_index("text"), "text", new)
-    return map_blocks(docs, run, fields)
+        return pa.Table.from_batches([block]).set_column(at, "text", new)
+    return map_blocks(named, run, named.schema).toDF(*docs.columns)
 
 
 def span_strings(found: DataFrame) -> DataFrame:

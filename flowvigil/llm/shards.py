@@ -47,7 +47,9 @@ def slot_of(key: str, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> DataFrame:
     """All columns of ``df`` with the slot (``_slot``) and shard number (``_shard``) of each row.
 
-    Rows with equal keys go to one shard; a null key is placed like an empty text. No shuffle.
+    Rows with equal keys go to one shard; a null key is placed like an empty text. Columns of ``df``
+    that have these two names already are replaced. No shuffle.
     """
+    df = df.drop(*({"_slot", "_shard"} - {key}))
     table = df.sparkSession.createDataFrame(list(enumerate(fill(names, slots))), "_slot long, _shard int")
     return df.withColumn("_slot", slot_of(key, slots)).join(F.broadcast(table), "_slot")
