@@ -44,6 +44,7 @@ def edited(seed=1, n=90):
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_groups(spark, monkeypatch, size, percent):
     monkeypatch.setattr(near, "STAR_PART", 7)
+    monkeypatch.setattr(near, "STAR_SHINGLES", 500)
     for rows in (edited() + ODD[:-1], ODD):
         have = rows_of(near.near_groups(frame(spark, rows), size, percent), "doc_id", "n_shingles", "component_id", F.coalesce("kept", F.lit(True)))
         want = [(i, n, c, k) for i, n, c, k in brute.near(rows, size, percent)]
@@ -187,6 +188,11 @@ def test_licences(spark, small):
     assert mit.score == 1.0 and any(s.label == "mit" and s.covered == mit.n_words - 2 for s in mit.spans)
 
 
+def test_single_word_phrase(spark):
+    found = licences.scan_licences(frame(spark, [(1, "x MIT y mit"), (2, "nothing")]), phrases=(("mit", "mit"),)).orderBy("doc_id").collect()
+    assert [[tuple(p) for p in r.places] for r in found] == [[(1, "mit"), (3, "mit")], []]
+
+
 def test_automaton_statistics():
     rng = random.Random(2)
     texts = [("t", [rng.choice("abc") for _ in range(rng.randrange(1, 14))]) for _ in range(12)]
@@ -251,6 +257,9 @@ def test_shards(spark):
     df = shards.place(frame(spark, ODD), "doc_id", names, 251)
     assert df.count() == len(ODD) and df.columns[1:-1] == ["doc_id", "text", "v", "h", "n", "bucket"]
     assert df.filter("doc_id = 4").select("_shard").distinct().count() == 1
+    clash = shards.place(frame(spark, ODD).withColumn("_slot", F.lit("x")).withColumn("_shard", F.lit("y")), "doc_id", names, 251)
+    assert rows_of(clash, "doc_id", "text", "_slot", "_shard") == rows_of(df, "doc_id", "text", "_slot", "_shard")
+    assert rows_of(shards.place(df.select("_shard"), "_shard", names, 251), "_slot") != []
     for bad in ([], ["a", "a"]):
         with pytest.raises(ValueError):
             shards.fill(bad)

@@ -50,6 +50,19 @@ def test_stages_on_awkward_rows(spark, small, rows):
         assert name == "byte_bpe" or out.columns == docs.columns
 
 
+def test_stages_with_clashing_names(spark, small):
+    rows = [(1, "word " * 3), (None, None), (3, " ".join(f"w{i} is good." for i in range(40))), (4, " ".join(f"w{i} is good." for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_gone", "gone", "docs", "kept", "v", "h", "c", "n", "a.b", "spans", "item_id", "component_id", "bucket"):
+        docs = docs.withColumn(name, F.lit(name))
+    plain = docs.select("doc_id", "text")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        assert name == "byte_bpe" or out.columns == docs.columns
+        columns = ["doc_id", "ids" if name == "byte_bpe" else "text"]
+        assert sorted(map(str, out.select(columns).collect())) == sorted(map(str, stage(spark, plain.withColumn("n_chars", F.lit(0)), small).select(columns).collect()))
+
+
 def test_whole_pipeline(spark, small):
     out = queries.pipeline(spark, small)
     assert 0 < out.count() < 200 and out.filter(F.size("ids") != F.col("n_tokens")).isEmpty()
