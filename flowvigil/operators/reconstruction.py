@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,16 +77,19 @@ class SequenceModel:
     columns: list[str]
     length: int
     scaler: dict[str, tuple[float, float]]
-    models: list[LinearRegressionModel]
+    weights: list[list[float]]
+    intercepts: list[float]
     threshold: float = 0.0
 
     def errors(self, df: DataFrame, hot=AUTO) -> DataFrame:
         """(key, order, error): mean squared error of the predicted next row; rows without a
         full window before them are absent."""
         out = _windows(df, self.key, self.order, self.columns, self.length, self.scaler, hot)
-        for i, model in enumerate(self.models):
-            out = model.copy({model.predictionCol: f"_p{i}"}).transform(out)
-        parts = [(F.col(f"_p{i}") - F.get("target", F.lit(i))) ** 2 for i in range(len(self.models))]
+        parts = []
+        for i, (weights, intercept) in enumerate(zip(self.weights, self.intercepts)):
+            products = F.zip_with("_window", F.array(*map(F.lit, weights)), lambda x, w: x * w)
+            guess = F.aggregate(products, F.lit(float(intercept)), lambda total, x: total + x)
+            parts.append((guess - F.get("target", F.lit(i))) ** 2)
         error = reduce(add, parts) / F.lit(float(len(parts)))
         return out.select(self.key, *self.order, error.alias("error"))
 
@@ -99,19 +103,63 @@ class SequenceModel:
 def _windows(df, key, order, columns, length, scaler, hot) -> DataFrame:
     scaled = apply_scaler(df.select(key, *order, *columns), scaler)
     rows = sequences(scaled, key, order, columns, length, hot=hot)
-    return rows.withColumn("_window", array_to_vector(F.flatten("sequence")))
+    return rows.withColumn("_window", F.flatten("sequence"))
+
+
+def covariances(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of the numbers in the array ``column``, all arrays of one length; no rows: empty.
+
+    One pass: every task adds up its rows, and only these sums, a square of the array's length
+    a task, are shuffled and added, a line of the square at a time.
+    """
+    def task_sums(batches):
+        total = 0
+        for batch in batches:
+            values = batch.column(0)
+            if len(values):
+                x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+                x = np.column_stack([np.ones(len(x)), x])
+                total = total + x.T @ x
+        if not np.isscalar(total):
+            for i, line in enumerate(total):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([line.tolist()])], ["i", "line"])
+
+    def add_lines(batches):
+        total, line = 0, None
+        for batch in batches:
+            line = batch.column(0)[0].as_py()
+            total = total + np.array(batch.column(1).to_pylist()).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([line], pa.int32()), pa.array([total.tolist()])], ["i", "line"])
+
+    shape = "i int, line array<double>"
+    lines = df.select(column).mapInArrow(task_sums, shape).groupBy("i").applyInArrow(
+        lambda table: pa.Table.from_batches(add_lines(table.to_batches())), shape).orderBy("i").collect()
+    if not lines:
+        return np.zeros(0), np.zeros((0, 0))
+    sums = np.array([r["line"] for r in lines])
+    mean = sums[0, 1:] / sums[0, 0]
+    return mean, sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean)
 
 
 def fit_sequence_model(df: DataFrame, columns: Sequence[str], key: str, order: Sequence[str], length: int = 50,
-                       share: float = 0.95, hot=AUTO) -> SequenceModel:
-    """Fit per column in closed form (one pass each), then set the error threshold."""
+                       share: float = 0.95, hot=AUTO, ridge: float = 1e-3) -> SequenceModel:
+    """All columns are fitted from one pass over the windows, then the error threshold is set.
+
+    Least squares with a penalty of ``ridge`` on the standardised weights; without any full window
+    all weights are 0.
+    """
     columns, order = list(columns), list(order)
     scaler = fit_scaler(df, columns)
     rows = _windows(df, key, order, columns, length, scaler, hot)
-    models = []
-    for i in range(len(columns)):
-        regression = LinearRegression(featuresCol="_window", labelCol="_y", solver="normal", regParam=1e-3)
-        models.append(regression.fit(rows.select("_window", F.get("target", F.lit(i)).alias("_y"))))
-    model = SequenceModel(key, order, columns, length, scaler, models)
+    mean, joint = covariances(rows.select(F.concat("_window", "target").alias("x")), "x")
+    n = length * len(columns)
+    weights = np.zeros((n, len(columns)))
+    intercepts = np.zeros(len(columns))
+    if len(mean):
+        spread = np.diag(joint)[:n]
+        penalty = np.where(spread > 0, ridge * spread, 1.0)
+        weights = np.linalg.solve(joint[:n, :n] + np.diag(penalty), joint[:n, n:])
+        intercepts = mean[n:] - mean[:n] @ weights
+    model = SequenceModel(key, order, columns, length, scaler, weights.T.tolist(), intercepts.tolist())
     model.threshold = error_threshold(model.errors(df, hot), share=share)
     return model

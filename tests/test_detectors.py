@@ -121,6 +121,23 @@ def test_sequence_errors_start_after_the_first_window(spark):
     assert bool(first.set_index("at").loc[100, "is_anomaly"])
 
 
+def test_sequence_model_against_plain_ridge(spark):
+    rng = np.random.default_rng(5)
+    n, length = 300, 4
+    values = rng.normal(size=(n, 2)).cumsum(0)
+    df = spark.createDataFrame(pd.DataFrame({"user": 0, "at": range(n), "a": values[:, 0], "b": values[:, 1]})).repartition(5)
+    model = reconstruction.fit_sequence_model(df, ["a", "b"], "user", ["at"], length=length)
+    x = np.column_stack([(values[:, i] - model.scaler[c][0]) / model.scaler[c][1] for i, c in enumerate("ab")])
+    before = np.array([x[i - length:i].ravel() for i in range(length, n)])
+    centred, target = before - before.mean(0), x[length:] - x[length:].mean(0)
+    want = np.linalg.solve(centred.T @ centred + 1e-3 * np.diag((centred ** 2).sum(0)), centred.T @ target)
+    assert np.allclose(np.array(model.weights).T, want)
+    errors = model.errors(df).orderBy("at").toPandas().error.to_numpy()
+    assert np.allclose(errors, ((centred @ want - target) ** 2).mean(1))
+    few = reconstruction.fit_sequence_model(df.limit(3), ["a"], "user", ["at"], length=length)
+    assert few.weights == [[0.0] * length]
+
+
 def test_ensemble_skips_missing_scores(spark):
     df = spark.createDataFrame([(0.9, None, True, False, True), (None, None, None, None, None), (0.4, 0.8, True, False, False)],
                                "a double, b double, x boolean, y boolean, z boolean")
