@@ -44,7 +44,6 @@ def edited(seed=1, n=90):
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_groups(spark, monkeypatch, size, percent):
     monkeypatch.setattr(near, "STAR_PART", 7)
-    monkeypatch.setattr(near, "STAR_SHINGLES", 500)
     for rows in (edited() + ODD[:-1], ODD):
         have = rows_of(near.near_groups(frame(spark, rows), size, percent), "doc_id", "n_shingles", "component_id", F.coalesce("kept", F.lit(True)))
         want = [(i, n, c, k) for i, n, c, k in brute.near(rows, size, percent)]
