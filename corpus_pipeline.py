@@ -11,21 +11,29 @@ from flowvigil.session import materialise, scratch_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules (4): documents that they reject go. Rows with a null id are kept or go by their id as one document."""
-    judged = quality.verdicts(docs, table(spark, sf_dir, "labels"), materialise)
-    return _without(docs, judged.filter(~F.col("kept")).select("doc_id"))
+    """Quality rules (4): rows that they reject go, each by its own text."""
+    return quality.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (2): of each group of near copies the document with the smallest id stays."""
-    groups = near.near_groups(docs)
-    return _without(docs, groups.filter(~F.col("kept")).select("doc_id"))
+    """MinHash near-dedup (2): of each group of near copies the row with the smallest id stays (null ids last, then any one).
+
+    Rows are told apart by a key of their own, so rows that share an id or have none are documents each.
+    """
+    named = _keyed(spark, docs)
+    ids = named.select("key", named[f"c{docs.columns.index('doc_id')}"].alias("doc_id"))
+    groups = near.near_groups(named.select(F.col("key").alias("doc_id"), named[f"c{docs.columns.index('text')}"].alias("text")))
+    copies = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    members = materialise(copies.union(copies.select("component", "component").distinct()))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = members.join(ids, "key").groupBy("component").agg(F.min(order)["key"].alias("key"))
+    gone = members.join(stay.select("key"), "key", "left_anti").select("key")
+    return named.join(gone, "key", "left_anti").drop("key").toDF(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (7): documents that hold a test item go."""
-    found = contamination.contained(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id"))
+    """Benchmark decontamination (7): rows that hold a test item go, each by its own text."""
+    return contamination.without_items(docs, table(spark, sf_dir, "benchmark"), materialise)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +48,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not in ``gone`` (null ids match each other), whatever the other columns of ``docs`` are called."""
-    docs, gone = docs.alias("docs"), gone.distinct().alias("gone")
-    return docs.join(gone, F.col("docs.doc_id").eqNullSafe(F.col("gone.doc_id")), "left_anti")
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with columns c0, c1, ... and a unique ``key`` for each row, written once so that every read has the same keys."""
+    path = scratch_path(spark, "keyed")
+    docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("key", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 STAGES = [("quality_rules", keep_good), ("near_dedup", keep_one_of_each), ("decontamination", keep_uncontaminated),

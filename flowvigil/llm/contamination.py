@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowvigil.llm.tasks import map_blocks
+from flowvigil.llm.tasks import keep_rows, map_blocks
 from flowvigil.llm.text import U64, Texts, grams, mix, word_hashes, words
 
 SHINGLE = 5
@@ -76,23 +76,52 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent
     on their own; empty tables give no pairs. Items are searched in blocks of ``block_bytes`` of
     hashes: a larger benchmark takes more passes over the documents, never more memory.
     """
-    spark = docs.sparkSession
+    found = None
+    for shared in _item_blocks(items, shingle, block_bytes):
+        search = _searcher(shared, shingle, percent)
+
+        def run(block, search=search):
+            ids = block["doc_id"].to_pylist()
+            rows = [(ids[d], *rest) for d, *rest in search(block)]
+            return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "item_id", "n_shingles", "n_found"), zip(*rows) if rows else [()] * 4)})
+        pairs = map_blocks(docs.select("doc_id", "text"), run, "doc_id long, item_id long, n_shingles long, n_found long")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def without_items(docs: DataFrame, items: DataFrame, keep_docs, shingle: int = SHINGLE, percent: int = SHARE_PERCENT,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item as ``contained`` finds it, with all their columns; a row goes by its own text, whatever its id.
+
+    ``keep_docs`` writes a table once and returns it; it is used between the passes of a benchmark of several blocks.
+    """
+    for number, shared in enumerate(_item_blocks(items, shingle, block_bytes)):
+        search = _searcher(shared, shingle, percent)
+
+        def keep(block, search=search):
+            out = np.ones(block.num_rows, bool)
+            out[[d for d, *_ in search(block)]] = False
+            return pa.array(out)
+        docs = keep_rows(keep_docs(docs) if number else docs, keep)
+    return docs
+
+
+def _item_blocks(items: DataFrame, shingle: int, block_bytes: int):
+    """Broadcasts of (item_id, sorted shingles), each with about ``block_bytes`` of hashes."""
     sets = _item_sets(items, shingle)
     total = sets.agg(F.sum(F.octet_length("h"))).first()[0] or 0
     passes = max(1, -(-total // block_bytes))
-    found = None
     for number in range(passes):
         mine = sets if passes == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "h"), F.lit(passes)) == number)
         block = [(r.item_id, np.frombuffer(r.h, U64)) for r in mine.select("item_id", "h").toLocalIterator()]
-        pairs = _search(docs, spark.sparkContext.broadcast(block), shingle, percent)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+        yield items.sparkSession.sparkContext.broadcast(block)
 
 
-def _search(docs: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
+def _searcher(shared, shingle: int, percent: int):
+    """A function from a block of texts to its rows (row of the block, item_id, n_shingles of the item, n_found)."""
     made = {}
 
-    def run(block):
+    def search(block):
         sets = shared.value
         if "index" not in made:
             made["index"] = _index(sets, percent)
@@ -107,13 +136,12 @@ def _search(docs: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
             for d, a, b in set(zip(doc[hit].tolist(), low[hit].tolist(), high.tolist())):
                 pairs.update((d, int(i)) for i in owners[a:b])
         rows, have = [], (-1, None)
-        ids = block["doc_id"].to_pylist()
         for d, i in sorted(pairs):
             if have[0] != d:
                 have = (d, np.unique(h[off[d]:off[d + 1]]))
             item, want = sets[i]
             common = int(np.isin(want, have[1], assume_unique=True).sum())
             if 100 * common >= percent * len(want):
-                rows.append((ids[d], item, len(want), common))
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "item_id", "n_shingles", "n_found"), zip(*rows) if rows else [()] * 4)})
-    return map_blocks(docs.select("doc_id", "text"), run, "doc_id long, item_id long, n_shingles long, n_found long")
+                rows.append((d, item, len(want), common))
+        return rows
+    return search

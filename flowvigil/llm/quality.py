@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowvigil.llm.tasks import map_blocks
+from flowvigil.llm.tasks import keep_rows, map_blocks
 from flowvigil.llm.text import U64, Texts, grams, lut, mix, poly, word_hashes, words
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -184,12 +184,16 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _sample(labels: DataFrame, limit: int) -> DataFrame:
+    return labels.select("doc_id", "quality").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
+
+
 def fit_on(stats: DataFrame, labels: DataFrame, limit: int = LABELLED, lost: float = LOST) -> Trees:
     """Trees fitted on at most ``limit`` labelled rows (smallest hashes of doc_id); labels without quality are left out.
 
     The least score lets through all but ``lost`` of the good ones, and is never above even odds.
     """
-    sample = (labels.select("doc_id", "quality").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit))
+    sample = _sample(labels, limit)
     rows = stats.join(F.broadcast(sample), "doc_id").limit(2 * limit).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
     x, good = features(rows), rows["quality"].to_numpy() > 0
     model = fit(x, good)
@@ -217,3 +221,16 @@ def verdicts(docs: DataFrame, labels: DataFrame, keep_stats) -> DataFrame:
     """
     stats = keep_stats(statistics(docs))
     return judge(stats, fit_on(stats, labels))
+
+
+def passing(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` keeps, with all their columns: each row is judged by its own text, whatever its id."""
+    labelled = docs.select("doc_id", "text").join(F.broadcast(_sample(labels, limit).select("doc_id")), "doc_id", "left_semi")
+    model = fit_on(statistics(labelled), labels, limit)
+
+    def keep(block):
+        made = _statistics(block)
+        c = {name: made[name].to_numpy() for name in COUNTS}
+        failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        return pa.array(~failed & (model.score(features(c)) >= model.least))
+    return keep_rows(docs, keep)

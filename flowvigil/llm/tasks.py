@@ -29,3 +29,12 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema:
             for block in blocks(batch, column, limit):
                 yield from fn(block).to_batches()
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` says true for, from blocks in which doc_id and text have their names; no shuffle.
+
+    All columns, of any names, go through the tasks by position.
+    """
+    named = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
+    return map_blocks(named, lambda block: pa.Table.from_batches([block]).filter(keep(block)), named.schema).toDF(*docs.columns)

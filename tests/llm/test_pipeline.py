@@ -3,7 +3,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from flowvigil.llm import private, quality, queries
+from flowvigil.llm import contamination, private, quality, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,3 +66,41 @@ def test_stages_with_clashing_names(spark, small):
 def test_whole_pipeline(spark, small):
     out = queries.pipeline(spark, small)
     assert 0 < out.count() < 200 and out.filter(F.size("ids") != F.col("n_tokens")).isEmpty()
+
+
+def rows_left(out):
+    return sorted(((r.doc_id, r.text, r.lang) for r in out.select("doc_id", "text", "lang").collect()), key=str)
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark, small):
+    good = [r.text for r in queries.table(spark, small, "documents").limit(60).collect()]
+    docs = [(None, t, "a", "s", 1) for t in good] + [(7, t, "b", "s", 1) for t in good] + [(None, "junk", "c", "s", 1), (7, "junk", "d", "s", 1)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    labels = queries.table(spark, small, "labels")
+    left = rows_left(corpus_pipeline.keep_good(spark, frame, small))
+    plain = spark.createDataFrame([(-i - 1, *d[1:]) for i, d in enumerate(docs)], SCHEMA)
+    passed = {r.doc_id for r in quality.judge(quality.statistics(plain), quality.fit_on(quality.statistics(frame), labels)).filter("kept").collect()}
+    assert left == sorted(((d[0], d[1], d[2]) for i, d in enumerate(docs) if -i - 1 in passed), key=str)
+    assert 0 < len(left) < len(docs)
+
+    item = queries.table(spark, small, "benchmark").filter("text is not null").first().text
+    leaked = spark.createDataFrame([(None, f"x {item} y", "a", "s", 1), (None, "clean", "b", "s", 1), (3, item, "c", "s", 1), (3, "clean too", "d", "s", 1)], SCHEMA)
+    assert rows_left(corpus_pipeline.keep_uncontaminated(spark, leaked, small)) == [(3, "clean too", "d"), (None, "clean", "b")]
+
+
+def test_one_copy_of_rows_that_share_an_id_stays(spark, small):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, one, "a", "s", 1), (5, one, "a", "s", 1), (None, one + " more", "b", "s", 1), (None, two, "c", "s", 1), (None, two, "c", "s", 1),
+            (None, three, "d", "s", 1), (5, "other words under the same id", "e", "s", 1), (9, three, "f", "s", 1), (2, three + " end", "g", "s", 1),
+            (None, None, "h", "s", 1), (None, "", "i", "s", 1)]
+    out = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), small)
+    want = [(5, one, "a"), (None, two, "c"), (5, "other words under the same id", "e"), (2, three + " end", "g"), (None, None, "h"), (None, "", "i")]
+    assert rows_left(out) == sorted(want, key=str) and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_items_in_several_blocks(spark, small):
+    docs = queries.table(spark, small, "documents").filter("length(text) < 6000").cache()
+    items = queries.table(spark, small, "benchmark")
+    gone = {r.doc_id for r in contamination.contained(docs, items).collect()}
+    left = contamination.without_items(docs, items, corpus_pipeline.materialise, block_bytes=8 * sum(len(r.text.split()) for r in items.collect()) // 3)
+    assert gone and ids(left) == sorted({r.doc_id for r in docs.collect()} - gone)
