@@ -37,12 +37,13 @@ def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Number of distinct keys of each document."""
+    """Number of distinct keys of each document. A key's low bits are the document's number, as many as ``n`` documents need."""
+    bits = U64(max(12, n.bit_length()))
     with np.errstate(over="ignore"):
-        own = np.sort(mix(keys + (doc.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)) >> U64(12) << U64(12) | doc.astype(U64))
+        own = np.sort(mix(keys + (doc.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)) >> bits << bits | doc.astype(U64))
     new = np.ones(len(own), bool)
     new[1:] = own[1:] != own[:-1]
-    return np.bincount((own[new] & U64(0xFFF)).astype(np.int64), minlength=n)
+    return np.bincount((own[new] & ((U64(1) << bits) - U64(1))).astype(np.int64), minlength=n)
 
 
 def _repeat_words(h: np.ndarray, off: np.ndarray) -> np.ndarray:

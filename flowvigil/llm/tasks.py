@@ -17,11 +17,11 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema:
                limit: int = BLOCK) -> DataFrame:
     """``fn`` over blocks of rows with at most ``limit`` bytes in ``column`` (or one longer row); no shuffle.
 
-    Sets the session's rows per Arrow batch to BATCH_ROWS where more are set: long texts times
+    Sets the session's rows per Arrow batch to BATCH_ROWS where more or no limit (0 or less) are set: long texts times
     the default of 10,000 rows would not be bounded by the memory of a task.
     """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):

@@ -3,12 +3,13 @@ import random
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowvigil.llm import bpe, chat, contamination, licences, near, private, quality, queries, shards
+from flowvigil.llm import bpe, chat, contamination, licences, near, private, quality, queries, shards, tasks
 
 SCHEMA = "doc_id long, text string, v string, h int, n long, bucket int"
 ODD = [(None, "a b c"), (1, None), (2, ""), (3, " \t\n "), (4, "a b c"), (4, "other words here, far away"), (5, "É" * 5000), (6, "word " * 30000)]
@@ -119,6 +120,23 @@ def test_statistics(spark, small):
     assert have == sorted(((i, *brute.statistics(t)) for i, t in rows), key=str)
 
 
+def test_statistics_of_many_short_rows(spark):
+    texts = [["a b a", "", "a\nb\na", "c"][i % 4] for i in range(9000)]
+    have = quality._statistics(pa.table({"doc_id": range(9000), "text": texts}).to_batches()[0])
+    want = [brute.statistics(t) for t in texts]
+    assert have["n_dup_lines"].to_pylist() == [w[3] for w in want]
+    assert have["n_distinct"].to_pylist() == [len(set(t.split())) for t in texts]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "0")
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert {r.n_distinct for r in quality.statistics(df).filter("doc_id % 4 = 2").collect()} == {2}
+        assert spark.conf.get(key) == str(tasks.BATCH_ROWS)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_trees_follow_labels_and_constraints():
     rng = np.random.default_rng(1)
     x = rng.random((3000, len(quality.FEATURES)))
