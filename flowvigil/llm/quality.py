@@ -186,16 +186,20 @@ def base_failed() -> F.Column:
 
 
 def _sample(labels: DataFrame, limit: int) -> DataFrame:
-    return labels.select("doc_id", "quality").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
+    """At most ``limit`` labelled ids (smallest hashes); of several labels of one id the lowest counts."""
+    one = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def fit_on(stats: DataFrame, labels: DataFrame, limit: int = LABELLED, lost: float = LOST) -> Trees:
     """Trees fitted on at most ``limit`` labelled rows (smallest hashes of doc_id); labels without quality are left out.
 
+    Of rows that share a labelled id the one with the smallest statistics is taken, so the fit depends on no order of rows.
     The least score lets through all but ``lost`` of the good ones, and is never above even odds.
     """
     sample = _sample(labels, limit)
-    rows = stats.join(F.broadcast(sample), "doc_id").limit(2 * limit).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
+    one = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("least"))
+    rows = one.select("doc_id", "quality", "least.*").toPandas().sort_values("doc_id", kind="stable")
     x, good = features(rows), rows["quality"].to_numpy() > 0
     model = fit(x, good)
     passed = good & (rows["n_words"].to_numpy() >= 50) & (100 * rows["n_repeat_words"].to_numpy() <= 50 * rows["n_words"].to_numpy())

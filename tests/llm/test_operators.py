@@ -169,6 +169,20 @@ def test_verdicts(spark, small):
     assert odd.count() == len(ODD)
 
 
+def test_fit_depends_on_no_order_of_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), *map(int, rng.integers(60, 400, len(quality.COUNTS)))) for i in range(120) for _ in range(6)]
+    labels = spark.createDataFrame([(i, q) for i in range(120) for q in {i % 2, (i % 8 + 7) // 8}], "doc_id long, quality int")
+    one = {}
+    for r in sorted(rows):
+        one.setdefault(r[0], r)
+    counts = {c: np.array([one[i][n] for i in range(120)]) for n, c in enumerate(quality.COUNTS, 1)}
+    want = quality.fit(quality.features(counts), np.array([min(i % 2, (i % 8 + 7) // 8) for i in range(120)]) > 0)
+    for order in (rows, rows[::-1]):
+        have = quality.fit_on(spark.createDataFrame(order, quality.STATS).repartition(3), labels, limit=120)
+        assert len(want.roots) and all((getattr(have, n) == getattr(want, n)).all() for n in ("feature", "split", "left", "right", "value", "roots"))
+
+
 # personal data
 
 TRICKY = ["a@b.c@d.e", "x@y z@w.co.uk. +1 (555) 010-9999 4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "999.1.1.1 1.2.3.256 001.02.3.4",
