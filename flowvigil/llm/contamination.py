@@ -39,12 +39,23 @@ def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_off
 
 
+def runs_of(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words, each as ``shingles`` hashes a text of only these words, and offsets of the documents."""
+    starts, ends, off = words(texts)
+    g = grams(word_hashes(texts, starts, ends), size)
+    count = np.maximum(np.diff(off) - size + 1, 0)
+    out_off = np.concatenate([[0], np.cumsum(count)])
+    return mix(g[np.repeat(off[:-1] - out_off[:-1], count) + np.arange(out_off[-1])] ^ U64(size)), out_off
+
+
 def _item_sets(items: DataFrame, size: int) -> DataFrame:
     def run(block):
-        h, off = shingles(Texts(block["text"]).lowered(), size)
+        texts = Texts(block["text"]).lowered()
+        h, off = shingles(texts, size)
         sets = [np.unique(h[a:b]) for a, b in zip(off[:-1], off[1:])]
-        return pa.table({"item_id": block["item_id"], "n": pa.array(map(len, sets), pa.int64()), "h": pa.array([s.tobytes() for s in sets], pa.binary())})
-    return map_blocks(items.select("item_id", "text"), run, "item_id long, n long, h binary").filter("n > 0")
+        return pa.table({"item_id": block["item_id"], "n": pa.array(map(len, sets), pa.int64()), "n_words": pa.array(np.diff(words(texts)[2]), pa.int64()),
+                         "h": pa.array([s.tobytes() for s in sets], pa.binary())})
+    return map_blocks(items.select("item_id", "text"), run, "item_id long, n long, n_words long, h binary").filter("n > 0")
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -93,28 +104,38 @@ def without_items(docs: DataFrame, items: DataFrame, keep_docs, shingle: int = S
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item as ``contained`` finds it, with all their columns; a row goes by its own text, whatever its id.
 
+    An item of fewer than ``shingle`` words is also found inside longer texts, as a run of its words.
     ``keep_docs`` writes a table once and returns it; it is used between the passes of a benchmark of several blocks.
     """
     for number, shared in enumerate(_item_blocks(items, shingle, block_bytes)):
         search = _searcher(shared, shingle, percent)
 
-        def keep(block, search=search):
+        def keep(block, search=search, shared=shared):
             out = np.ones(block.num_rows, bool)
             out[[d for d, *_ in search(block)]] = False
+            texts = Texts(block["text"]).lowered() if shared.value[1] else None
+            for size, hashes in shared.value[1].items():
+                h, off = runs_of(texts, size)
+                out[np.searchsorted(off, np.flatnonzero(np.isin(h, hashes)), "right") - 1] = False
             return pa.array(out)
         docs = keep_rows(keep_docs(docs) if number else docs, keep)
     return docs
 
 
 def _item_blocks(items: DataFrame, shingle: int, block_bytes: int):
-    """Broadcasts of (item_id, sorted shingles), each with about ``block_bytes`` of hashes."""
+    """Broadcasts, each with about ``block_bytes`` of hashes: a list of (item_id, sorted shingles), and for each number of
+    words under ``shingle`` the hashes of the items that have so many."""
     sets = _item_sets(items, shingle)
     total = sets.agg(F.sum(F.octet_length("h"))).first()[0] or 0
     passes = max(1, -(-total // block_bytes))
     for number in range(passes):
         mine = sets if passes == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "h"), F.lit(passes)) == number)
-        block = [(r.item_id, np.frombuffer(r.h, U64)) for r in mine.select("item_id", "h").toLocalIterator()]
-        yield items.sparkSession.sparkContext.broadcast(block)
+        block, short = [], {}
+        for r in mine.select("item_id", "n_words", "h").toLocalIterator():
+            block.append((r.item_id, np.frombuffer(r.h, U64)))
+            if r.n_words < shingle:
+                short.setdefault(r.n_words, []).append(block[-1][1][0])
+        yield items.sparkSession.sparkContext.broadcast((block, {size: np.array(h, U64) for size, h in short.items()}))
 
 
 def _searcher(shared, shingle: int, percent: int):
@@ -122,7 +143,7 @@ def _searcher(shared, shingle: int, percent: int):
     made = {}
 
     def search(block):
-        sets = shared.value
+        sets = shared.value[0]
         if "index" not in made:
             made["index"] = _index(sets, percent)
         h, off = shingles(Texts(block["text"]).lowered(), shingle)

@@ -104,3 +104,12 @@ def test_items_in_several_blocks(spark, small):
     gone = {r.doc_id for r in contamination.contained(docs, items).collect()}
     left = contamination.without_items(docs, items, corpus_pipeline.materialise, block_bytes=8 * sum(len(r.text.split()) for r in items.collect()) // 3)
     assert gone and ids(left) == sorted({r.doc_id for r in docs.collect()} - gone)
+
+
+def test_short_items_inside_longer_documents(spark):
+    items = spark.createDataFrame([(1, "Red fox"), (2, "one"), (3, "a b c d"), (4, " "), (5, None)], "item_id long, text string")
+    texts = {1: "the quick red FOX jumps over it", 2: "red", 3: "fox red fo x", 4: "x a b c d", 5: "a b c x d e f", 6: "One", 7: "ones and none but two three", 8: "this is the one we want here",
+             9: "", 10: None, 11: "ends in red", 12: "fox starts it"}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA).coalesce(1)
+    assert ids(contamination.without_items(docs, items, lambda df: df)) == [2, 3, 5, 7, 9, 10, 11, 12]
+    assert ids(contamination.without_items(docs.filter("doc_id in (2, 9, 10)"), items, lambda df: df)) == [2, 9, 10]
