@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowvigil.llm import bpe, chat, contamination, licences, near, private, quality, shards, substring, suffixes
+from flowvigil.llm import bpe, chat, contamination, licences, manifest, near, private, quality, shards, sql, substring, suffixes
 from flowvigil.session import materialise
 
 
@@ -79,6 +79,13 @@ def licence_scan(spark, sf_dir):
                         F.array_join(labels, ",").alias("labels"), "score")
 
 
+def merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    out = manifest.verify(table(spark, sf_dir, "documents"), tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(manifest.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+                      "folded_root", "verified")
+
+
 def _map(values: dict[str, int]):
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
@@ -92,7 +99,7 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup, "op2_minhash_near_dedup": near_dedup, "op3_chat_format": chat_format,
     "op4_quality_rules": quality_rules, "op5_private_data": private_data, "op6_suffix_dedup": suffix_dedup,
     "op7_decontamination": decontamination, "op8_sharding": sharding, "op9_byte_bpe": byte_bpe,
-    "op10_licence_scan": licence_scan, "pipeline": pipeline,
+    "op10_licence_scan": licence_scan, "op11_merkle_manifest": merkle_manifest, "pipeline": pipeline,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -153,7 +160,8 @@ lookup as (select owner from fill where step = {shards.SLOTS})
 select doc_id, slot, owner[slot + 1]::integer as shard from lookup, (
     select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint % {shards.SLOTS} as slot from documents)"""
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _SUBSTRING_SQL, "op3_chat_format": _CHAT_SQL, "op7_decontamination": _CONTAINED_SQL, "op8_sharding": _SHARDS_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _SUBSTRING_SQL, "op3_chat_format": _CHAT_SQL, "op7_decontamination": _CONTAINED_SQL, "op8_sharding": _SHARDS_SQL,
+                           "op11_merkle_manifest": sql.MANIFEST}
 
 
 def all_queries():
