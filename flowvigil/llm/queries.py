@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowvigil.llm import bpe, chat, contamination, licences, manifest, near, private, quality, shards, sql, substring, suffixes
+from flowvigil.llm import bpe, chat, contamination, licences, manifest, near, private, quality, shards, sql, substring, suffixes, trie
 from flowvigil.session import materialise
 
 
@@ -86,6 +86,10 @@ def merkle_manifest(spark, sf_dir):
                       "folded_root", "verified")
 
 
+def prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _map(values: dict[str, int]):
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
@@ -99,7 +103,8 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup, "op2_minhash_near_dedup": near_dedup, "op3_chat_format": chat_format,
     "op4_quality_rules": quality_rules, "op5_private_data": private_data, "op6_suffix_dedup": suffix_dedup,
     "op7_decontamination": decontamination, "op8_sharding": sharding, "op9_byte_bpe": byte_bpe,
-    "op10_licence_scan": licence_scan, "op11_merkle_manifest": merkle_manifest, "pipeline": pipeline,
+    "op10_licence_scan": licence_scan, "op11_merkle_manifest": merkle_manifest, "op12_prefix_trie": prefix_trie,
+    "pipeline": pipeline,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -161,7 +166,7 @@ select doc_id, slot, owner[slot + 1]::integer as shard from lookup, (
     select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint % {shards.SLOTS} as slot from documents)"""
 
 ORACLES: dict[str, str] = {"op1_substring_dedup": _SUBSTRING_SQL, "op3_chat_format": _CHAT_SQL, "op7_decontamination": _CONTAINED_SQL, "op8_sharding": _SHARDS_SQL,
-                           "op11_merkle_manifest": sql.MANIFEST}
+                           "op11_merkle_manifest": sql.MANIFEST, "op12_prefix_trie": sql.TRIE}
 
 
 def all_queries():
