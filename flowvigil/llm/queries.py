@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowvigil.llm import bpe, chat, contamination, licences, manifest, near, private, quality, shards, sql, substring, suffixes, trie
+from flowvigil.llm import bpe, chat, classifier, contamination, licences, manifest, near, private, quality, shards, sql, substring, suffixes, trie
 from flowvigil.session import materialise
 
 
@@ -90,6 +90,12 @@ def prefix_trie(spark, sf_dir):
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def _map(values: dict[str, int]):
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules, "op5_private_data": private_data, "op6_suffix_dedup": suffix_dedup,
     "op7_decontamination": decontamination, "op8_sharding": sharding, "op9_byte_bpe": byte_bpe,
     "op10_licence_scan": licence_scan, "op11_merkle_manifest": merkle_manifest, "op12_prefix_trie": prefix_trie,
+    "op13_quality_classifier": quality_classifier,
     "pipeline": pipeline,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
