@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from flowvigil.operators.skew import attach_by_key, find_hot, scan_in_order
 from flowvigil.session import materialise
 
-SHARDS = 4096
-LEAST = 1000                # members that a subtree may have in any case without being cut
+SHARDS = 1024
 QUEUE = 1_000_000           # messages that a queue holds in memory
 CHUNK = 1 << 20             # bytes of ids that are digested at a time
 LIMBS = ("s0", "s1", "s2", "s3")
@@ -188,7 +187,7 @@ def pass_up(stops: DataFrame, limit: int = QUEUE) -> DataFrame:
 
 def subtree_totals(rows: DataFrame, nodes: DataFrame, stops: DataFrame) -> DataFrame:
     """(conv_id, depth, n_leaves, saved) of every stop."""
-    few = max(LEAST, rows.count() // SHARDS)
+    few = rows.count() // SHARDS + 1
     heavy = nodes.filter(F.col("n_convs") > few).select("key", F.lit(True).alias("heavy"))  # fewer than SHARDS, as each has more than few rows
     cut = F.min(F.when(F.col("heavy").isNull(), F.struct("depth", "key")))
     shard = rows.select("conv_id", "depth", "key").join(F.broadcast(heavy), "key", "left").groupBy("conv_id").agg(cut.alias("cut"))
