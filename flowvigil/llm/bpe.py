@@ -3,13 +3,16 @@
 Each match of the split pattern is encoded separately. A long text is first cut where the
 pattern always starts a new match - before a single blank between two letters - so that no
 call sees more than about ``CUT`` characters; a run without such a place is not cut.
-Decoding joins the raw bytes of the ids.
+A run of ``RUN`` or more white-space characters is a match by itself (without its last one, where more text follows) and is
+encoded as one piece, since the splitter's backtracking is bounded. This holds for patterns that treat white space
+as ``\\s+(?!\\S)|\\s+``. Decoding joins the raw bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,9 @@ from pyspark.sql import DataFrame
 from flowvigil.llm.tasks import map_blocks
 
 CUT = 100_000
+RUN = 10_000
 SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+BLANKS = regex.compile(rf"\p{{White_Space}}{{{RUN},}}+")
 
 
 @functools.lru_cache(4)
@@ -43,7 +48,13 @@ def cuts(text: str, size: int = CUT) -> list[str]:
 
 
 def encode_text(enc: tiktoken.Encoding, text: str, size: int = CUT) -> np.ndarray:
-    parts = [enc.encode_to_numpy(part, disallowed_special=()) for part in cuts(text, size)]
+    parts, start = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts += [enc.encode_to_numpy(part, disallowed_special=()) for part in cuts(text[start:run.start()], size)]
+        parts.append(np.array(enc._encode_single_piece(text[run.start():end]), np.uint32))
+        start = end
+    parts += [enc.encode_to_numpy(part, disallowed_special=()) for part in cuts(text[start:], size)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -51,7 +62,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, cut: int = CUT) -> Dat
     """doc_id and the token ids of each row's whole text, special tokens unknown.
 
     A null or empty text has no ids; rows with the same doc_id are encoded each on its own;
-    other columns are not looked at.
+    other columns are not looked at; a very long text is a block of its own; an empty table gives no rows.
     """
     def run(block):
         enc = encoding(rank_file, pattern)
@@ -78,13 +89,20 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
 
-def joined_ids(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, the ids in decimal joined by blanks, and data."""
-    def run(batches):
-        for batch in batches:
-            lists = _lists(batch["ids"])
-            text = [" ".join(map(str, ids.tolist())) for ids in lists]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(map(len, lists), pa.int64()), pa.array(text, pa.string()), batch["data"]],
-                ["doc_id", "n_tokens", "joined", "data"])
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, joined string, data binary")
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, cut: int = CUT) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by blanks) and decoded_sha256 (bytes that the ids stand for), in one pass.
+
+    Rows are treated as by ``encode``; a text's ids never leave the task.
+    """
+    def sha(data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
+
+    def run(block):
+        enc = encoding(rank_file, pattern)
+        out = []
+        for doc_id, text in zip(block["doc_id"].to_pylist(), block["text"]):
+            ids = encode_text(enc, text.as_py() or "", cut).tolist()
+            out.append((doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha(enc.decode_bytes(ids))))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return map_blocks(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -62,9 +62,7 @@ def sharding(spark, sf_dir):
 
 
 def byte_bpe(spark, sf_dir):
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
-    out = bpe.joined_ids(bpe.decode(encoded, *tokenizer()))
-    return out.select("doc_id", "n_tokens", F.sha2("joined", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def licence_scan(spark, sf_dir):

@@ -247,13 +247,36 @@ def test_bpe(spark, small):
     rows = rows + ODD + [(200, "it's  a   b\n\n c 12 345 <|endoftext|> 日本語 " * 50)]
     file, pattern = queries.tokenizer()
     enc = bpe.encoding(file, pattern)
-    out = bpe.joined_ids(bpe.decode(bpe.encode(frame(spark, rows), file, pattern, cut=300), file, pattern))
-    have = rows_of(out, "doc_id", "n_tokens", F.sha2("joined", 256), F.sha2("data", 256))
+    decoded = bpe.decode(bpe.encode(frame(spark, rows), file, pattern, cut=300), file, pattern)
+    two_passes = decoded.select("doc_id", F.size("ids").cast("long"), F.sha2(F.array_join("ids", " "), 256), F.sha2("data", 256))
+    have = rows_of(bpe.round_trip(frame(spark, rows), file, pattern, cut=300), "*")
+    assert have == rows_of(two_passes, "*")
     want = []
     for i, t in rows:
         ids = enc.encode_ordinary(t or "")
         want.append((i, len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(t or "")))
     assert have == sorted(want, key=str)
+    assert bpe.decode(bpe.encode(frame(spark, []), file, pattern), file, pattern).count() == bpe.round_trip(frame(spark, []), file, pattern).count() == 0
+
+
+def test_bpe_of_long_white_space(spark):
+    import regex
+    file, pattern = queries.tokenizer()
+    enc = bpe.encoding(file, pattern)
+
+    def by_match(parts):
+        return [i for part in parts for i in enc._encode_single_piece(part)]
+    n = 5_000_000
+    for c in " \t\n":
+        assert bpe.encode_text(enc, c * n).tolist() == by_match([c * n])
+        for tail in ("x", "\u00e9", "!"):
+            last = [" " + tail] if c == " " else [c, tail]
+            assert bpe.encode_text(enc, "a b" + c * n + tail).tolist() == by_match(["a", " b", c * (n - 1), *last])
+    mixed = "a" + " \t\u3000\n" * 5000 + "word" + "\u00a0" * 20_000 + "\x1c" + " " * 30_000  # below what the splitter itself can do
+    assert bpe.encode_text(enc, mixed).tolist() == by_match(regex.findall(pattern, mixed)) == enc.encode_ordinary(mixed)
+    rows = [(1, "a" + " " * n + "b"), (2, "plain")]
+    have = bpe.round_trip(frame(spark, rows), file, pattern).select("doc_id", "decoded_sha256").collect()
+    assert {r[0]: r[1] for r in have} == {i: brute.sha(t) for i, t in rows}
 
 
 # decontamination
