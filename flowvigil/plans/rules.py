@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from flowvigil.operators import evaluate, policies, risk, rules
 from flowvigil.plans.registry import PARTS, query
+from flowvigil.session import scratch_path
+from flowvigil.sources import sinks
 
 query("g1_port_scan_rule", """
 select src_ip, dst_ip, date_trunc('day', ts) as window_start, count(distinct dst_port) as ports from flows
@@ -86,6 +88,31 @@ select event_id, ts from events where ts >= cast((select max(ts) from events) as
 query("x4_retention_90", """
 select event_id, ts from events where ts >= cast((select max(ts) from events) as date) - interval '90 days'""")(
     lambda t: policies.retain(t.table("events")).select("event_id", "ts"))
+
+
+def _stored(t) -> str:
+    path = scratch_path(t.spark, "dated")
+    sinks.store_by_date(t.events.select("event_id", "ts"), path)
+    return path
+
+
+@query("x4_retention_drop", """
+select event_id, ts from events where cast(ts as date) >= cast((select max(ts) from events) as date) - interval '14 days'""")
+def _retention_drop(t):
+    """What is left in a dated store after its old folders were removed."""
+    path = _stored(t)
+    sinks.drop_expired(t.spark, path, days=14)
+    return t.spark.read.parquet(path).select("event_id", "ts")
+
+
+@query("x4_retention_report", """
+select cast(ts as date) as date, cast(ts as date) < (select max(cast(ts as date)) from events) - interval '7 days' as expired,
+  false as dropped from events group by 1""")
+def _retention_report(t):
+    """The dry run: every date folder and whether it would go."""
+    return sinks.drop_expired(t.spark, _stored(t), days=7, dry_run=True).select("date", "expired", "dropped")
+
+
 query("x5_anonymise", """
 select flow_id, sha256('pepper' || cast(user_id as varchar)) as user_id, sha256('pepper' || src_ip) as src_ip,
   regexp_replace(dst_ip, '\\.[0-9]+$', '.0') as dst_ip from flows""")(

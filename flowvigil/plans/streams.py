@@ -11,7 +11,7 @@ from flowvigil.plans.registry import query
 from flowvigil.plans.response import _SENT_SQL
 from flowvigil.plans.views import Tables, view_over
 from flowvigil.session import materialise, scratch_path
-from flowvigil.streaming import jobs
+from flowvigil.streaming import jobs, recent
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -51,6 +51,36 @@ def _ingest(t):
     return t.spark.read.parquet(store).drop("batch").join(sent, "flow_id", "left")
 
 
+def _kept(t: Tables, changes: DataFrame, name: str, mode: str) -> str:
+    """Run a job whose result is its state; the checkpoint that holds it."""
+    checkpoint = _checkpoint(t, name)
+    with recent.rocksdb_state(t.spark):
+        jobs.run(changes, checkpoint, mode=mode, each_batch=lambda df, batch: jobs.write_batch(df, scratch_path(t.spark, name), batch))
+    return checkpoint
+
+
+@query("t8_recent_ring_stream", """
+select source, seq, ts, recent_no from (
+  select source, seq, ts, row_number() over (partition by source order by ts desc, seq desc) as recent_no
+  from detections) as r where recent_no <= 1000""")
+def _ring(t):
+    """The ring after four micro-batches, read from the state."""
+    rows = view_over(_split_stream(t), "detections").select("source", "seq", "ts")
+    checkpoint = _kept(t, recent.keep_ring(rows, "source", ["ts", "seq"], 1000), "ring", "update")
+    ring = recent.recent_ring(t.spark, checkpoint, rows.schema, "source", ["ts", "seq"], 1000)
+    return ring.withColumn("recent_no", F.col("recent_no").cast("bigint"))
+
+
+@query("s8_recent_cache_stream", """
+select event_id, 'recent_events:' || strftime(ts, '%Y%m%d%H%M') as cache_key from events
+where ts > (select max(ts) from events) - interval '1 day'""")
+def _cache(t):
+    """What is younger than a day after four micro-batches, read from the state; older minutes have left it."""
+    rows = _split_stream(t).select("event_id", "ts")
+    checkpoint = _kept(t, recent.keep_recent(rows, ttl_seconds=86400), "cache", "append")
+    return recent.recent_events(t.spark, checkpoint, rows.schema, ttl_seconds=86400).select("event_id", "cache_key")
+
+
 @query("st2_live_detect")
 def _live(t):
     features = materialise(context.model_features(t.flows))

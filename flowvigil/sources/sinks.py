@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowvigil.sources.folders import Folders
+
 TOPIC = "raw-security-events"
 
 
@@ -22,6 +25,40 @@ def store_by_date(df: DataFrame, path: str, at: str = "ts", mode: str = "append"
      .write.mode(mode).partitionBy("date").option("compression", "snappy").parquet(path))
 
 
+# Days that a kind of table is kept.
+RETENTION_DAYS = {"events": 90, "audit": 365}
+DROPPED = "path string, date date, files long, bytes long, expired boolean, dropped boolean"
+
+
+def drop_expired(spark: SparkSession, path: str, kind: str = "events", days: int | None = None, as_of: date | None = None,
+                 dry_run: bool = False) -> DataFrame:
+    """Remove the date folders of ``path`` that are older than ``days`` (those of ``kind`` by default); a row for every folder found.
+
+    ``path`` holds ``date=`` folders, below ``batch=`` folders where a stream writes them. Only the catalogue of
+    paths is read, no data file. ``as_of`` (the newest folder's date by default, so that a result can be repeated) and the
+    ``days`` before it stay, as in ``policies.retain``; folders without a date, as of rows without a time, stay too. Each folder is removed
+    whole, so a call that was stopped is finished by the next. With ``dry_run`` nothing is removed.
+    """
+    days = RETENTION_DAYS[kind] if days is None else days
+    folders = Folders(spark)
+    found = [(e, _folder_date(e.name)) for depth in ("", "batch=*/") for e in folders.matching(f"{path}/{depth}date=*") if e.is_folder]
+    dates = [at for _, at in found if at is not None]
+    as_of = as_of or max(dates, default=date.min)
+    rows = []
+    for entry, at in found:
+        files, size = folders.content(entry.path)
+        expired = at is not None and (as_of - at).days > days
+        rows.append((entry.path, at, files, size, expired, expired and not dry_run and folders.delete(entry.path)))
+    return spark.createDataFrame(rows, DROPPED)
+
+
+def _folder_date(name: str) -> date | None:
+    try:
+        return date.fromisoformat(name.removeprefix("date="))
+    except ValueError:
+        return None
+
+
 def topic_records(df: DataFrame, key: str | None = None) -> DataFrame:
     """(key, value): each record as one JSON text, the shape a topic sink takes."""
     value = F.to_json(F.struct("*")).alias("value")
