@@ -98,11 +98,14 @@ def newest_time(df: DataFrame, at: str) -> datetime | None:
     return df.agg(F.max(at)).first()[0]
 
 
-def at_literal(moment: datetime, kind: T.DataType) -> Column:
+def at_literal(moment: datetime | None, kind: T.DataType) -> Column:
     """The moment as a literal of the column type ``kind``, whatever zone the driver's system has.
 
-    A time without a zone means itself for columns without a zone, and the system's time for others.
+    A time without a zone means itself for columns without a zone, and the system's time for others. No moment, as of
+    an empty table, is null.
     """
+    if moment is None:
+        return F.lit(None).cast(kind)
     text = moment.isoformat(" ") if isinstance(kind, T.TimestampNTZType) else moment.astimezone(timezone.utc).isoformat(" ")
     return F.lit(text).cast(kind)
 

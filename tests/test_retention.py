@@ -37,3 +37,10 @@ def test_no_data_file_is_read(spark, tmp_path, monkeypatch):
     sinks.store_by_date(spark.createDataFrame([(1, NEWEST)], "id int, ts timestamp"), path)
     monkeypatch.setattr(type(spark), "read", property(lambda self: pytest.fail("reads data")))
     assert "FileScan" not in sinks.drop_expired(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_of_an_empty_table(spark):
+    from flowvigil.operators import policies
+    from flowvigil.sources import files
+    empty = spark.createDataFrame([], "id int, ts timestamp")
+    assert files.recent_range(empty).count() == files.recent_cache(empty).count() == policies.retain(empty).count() == 0
