@@ -46,19 +46,27 @@ def z_scores(baseline: Baseline) -> list[Column]:
     return [(F.col(c) - F.lit(mean)) / F.lit(std + 1e-8) for c, (mean, std) in baseline.items()]
 
 
-def divergence(baseline: Baseline) -> Column:
-    """min(max |z| / 5, 1) against the baseline; 0 without one."""
-    if not baseline:
+def divergence_of(z: Sequence[Column]) -> Column:
+    """min(max |z| / 5, 1); 0 without any z-score."""
+    sizes = [F.abs(one) for one in z]
+    if not sizes:
         return F.lit(0.0)
-    sizes = [F.abs(z) for z in z_scores(baseline)]
     top = sizes[0] if len(sizes) == 1 else F.greatest(*sizes)
     return F.least(top / 5.0, F.lit(1.0))
 
 
-def zero_day(df: DataFrame, baseline: Baseline, anomaly: str = "anomaly_score",
+def divergence(baseline: Baseline) -> Column:
+    """min(max |z| / 5, 1) against the baseline; 0 without one."""
+    return divergence_of(z_scores(baseline))
+
+
+def zero_day(df: DataFrame, baseline: Baseline | Sequence[Column], anomaly: str = "anomaly_score",
              threshold: float = DIVERGENCE_THRESHOLD) -> DataFrame:
-    """Divergence, zero-day flag, confidence and named indicators per row."""
-    z = z_scores(baseline)
+    """Divergence, zero-day flag, confidence and named indicators per row.
+
+    ``baseline`` is one for all rows, or the z-scores of the row's own (``baselines.with_entity_z``).
+    """
+    z = z_scores(baseline) if isinstance(baseline, Mapping) else list(baseline)
     def any_of(tests: list[Column]) -> Column:
         out = F.lit(False)
         for t in tests:
@@ -67,7 +75,7 @@ def zero_day(df: DataFrame, baseline: Baseline, anomaly: str = "anomaly_score",
     indicators = F.array_compact(F.array(
         F.when(any_of([c > 3 for c in z]), "extreme_statistical_outlier"),
         F.when(any_of([c < -3 for c in z]), "unusual_low_values")))
-    out = df.withColumn("divergence", divergence(baseline))
+    out = df.withColumn("divergence", divergence_of(z))
     return out.withColumns({
         "is_zero_day": (F.col("divergence") > threshold) & (F.col(anomaly) > ZERO_DAY_ANOMALY),
         "zero_day_confidence": (F.col("divergence") + F.col(anomaly)) / 2, "indicators": indicators})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from flowvigil.operators import clean, context, ensemble, evaluate, isolation, kmeans, reconstruction
+from flowvigil.operators import baselines, clean, context, ensemble, evaluate, isolation, kmeans, reconstruction
 from flowvigil.plans.registry import PARTS, query
-from flowvigil.session import materialise
+from flowvigil.session import materialise, scratch_path
 
 COLUMNS = context.MODEL_COLUMNS
 
@@ -148,3 +150,60 @@ def _zero_day(t):
     found = ensemble.zero_day(rows, ensemble.fit_baseline(t.flows, _BASE))
     return found.select("flow_id", "divergence", "anomaly_score", "is_zero_day", "zero_day_confidence",
                         F.array_join("indicators", ",").alias("indicators"))
+
+
+# --- baselines per entity -----------------------------------------------------
+
+PARTS["last_day"] = "select max(cast(ts as date)) as d from flows"
+PARTS["user_base"] = """
+select user_id, count(*) as samples, avg(packets) as mp, stddev_pop(packets) as sp, avg(bytes) as mb, stddev_pop(bytes) as sb,
+  avg(flow_duration) as md, stddev_pop(flow_duration) as sd
+from flows join last_day on cast(ts as date) >= d - interval '13 days' and cast(ts as date) < d group by 1 having count(*) >= 4"""
+
+
+def _user_baselines(t, runs: int = 2):
+    """Moments of all days but the last one, added in ``runs`` steps: what each step read, and the store."""
+    store = baselines.BaselineStore(t.spark, scratch_path(t.spark, "moments"), "user_id", _BASE)
+    last = t.flows.agg(F.to_date(F.max("ts"))).first()[0]
+    steps = [store.refresh(t.flows, last - timedelta(days=runs - 1 - i)) for i in range(runs)]
+    return steps, store, last
+
+
+query("x2_baseline_merged", """
+select user_id, samples, mp as packets_mean, sp as packets_std, mb as bytes_mean, sb as bytes_std, md as duration_mean, sd as duration_std
+from user_base""", "packets_mean packets_std bytes_mean:4 bytes_std:4 duration_mean duration_std")(
+    lambda t: (lambda store, last: store.baseline(last, days=13, min_samples=4).select(
+        "user_id", "samples", *(F.col(f"baseline.{c}.{part}").alias(f"{name}_{part}")
+                                for c, name in zip(_BASE, ("packets", "bytes", "duration")) for part in ("mean", "std"))))(*_user_baselines(t)[1:]))
+
+
+@query("x2_baseline_refresh", """
+select run, count(distinct cast(ts as date)) as days_read, count(*) as rows_read from flows join last_day on true
+join (values (1, -100000, 3), (2, 3, 2), (3, 2, 1), (4, 1, 0)) as r(run, after, upto)
+  on (after < 0 or cast(ts as date) >= d - to_days(after)) and cast(ts as date) < d - to_days(upto) group by 1""")
+def _refresh(t):
+    """Four days in a row: after the first run each one reads the new day only."""
+    steps, _, _ = _user_baselines(t, 4)
+    reads = [t.flows.where((F.to_date("ts") < F.lit(end)) & (F.lit(True) if since is None else F.to_date("ts") >= F.lit(since))).agg(
+        F.lit(i + 1).alias("run"), F.countDistinct(F.to_date("ts")).alias("days_read"), F.count("*").alias("rows_read")) for i, (since, end) in enumerate(steps)]
+    out = reads[0]
+    for more in reads[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("d12_zero_day_entity", """
+select flow_id, divergence, divergence > 9e-1 and anomaly_score > 8e-1 as is_zero_day, (divergence + anomaly_score)/2 as zero_day_confidence,
+  concat_ws(',', case when zp > 3 or zb > 3 or zd > 3 then 'extreme_statistical_outlier' end,
+    case when zp < -3 or zb < -3 or zd < -3 then 'unusual_low_values' end) as indicators
+from (select *, least(greatest(abs(zp), abs(zb), abs(zd))/5e0, 1e0) as divergence from (
+  select f.flow_id, least(bytes/10000e0, 1e0) as anomaly_score, coalesce((packets - u.mp)/(u.sp + 1e-8), z.zp) as zp,
+    coalesce((bytes - u.mb)/(u.sb + 1e-8), z.zb) as zb, coalesce((flow_duration - u.md)/(u.sd + 1e-8), z.zd) as zd
+  from flows f join flow_z z on f.flow_id = z.flow_id left join user_base u on f.user_id = u.user_id) as s) as d""",
+       "divergence:4 zero_day_confidence:4")
+def _zero_day_entity(t):
+    """Each flow against its user's own baseline, or against all flows where the user has too few."""
+    _, store, last = _user_baselines(t)
+    rows = t.flows.select("flow_id", "user_id", *_BASE, F.least(F.col("bytes") / 10000, F.lit(1.0)).alias("anomaly_score"))
+    joined, z = baselines.with_entity_z(rows, store.baseline(last, days=13, min_samples=4), "user_id", _BASE, "flow_id", ensemble.fit_baseline(t.flows, _BASE))
+    return ensemble.zero_day(joined, z).select("flow_id", "divergence", "is_zero_day", "zero_day_confidence", F.array_join("indicators", ",").alias("indicators"))
