@@ -109,8 +109,8 @@ def _windows(df, key, order, columns, length, scaler, hot) -> DataFrame:
 def covariances(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Means and covariances of the numbers in the array ``column``, all arrays of one length; no rows: empty.
 
-    One pass: every task adds up its rows, and only these sums, a square of the array's length
-    a task, are shuffled and added, a line of the square at a time.
+    One pass: every task adds up its rows to one square of the array's length, and Spark's sum adds the squares cell by
+    cell, combined before the shuffle; only the finished square is fetched.
     """
     def task_sums(batches):
         total = 0
@@ -124,19 +124,13 @@ def covariances(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
             for i, line in enumerate(total):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([line.tolist()])], ["i", "line"])
 
-    def add_lines(batches):
-        total, line = 0, None
-        for batch in batches:
-            line = batch.column(0)[0].as_py()
-            total = total + np.array(batch.column(1).to_pylist()).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([line], pa.int32()), pa.array([total.tolist()])], ["i", "line"])
-
-    shape = "i int, line array<double>"
-    lines = df.select(column).mapInArrow(task_sums, shape).groupBy("i").applyInArrow(
-        lambda table: pa.Table.from_batches(add_lines(table.to_batches())), shape).orderBy("i").collect()
-    if not lines:
+    lines = df.select(column).mapInArrow(task_sums, "i int, line array<double>").select("i", F.posexplode("line").alias("j", "x"))
+    cells = lines.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    if not len(cells):
         return np.zeros(0), np.zeros((0, 0))
-    sums = np.array([r["line"] for r in lines])
+    n = int(cells["i"].max()) + 1
+    sums = np.zeros((n, n))
+    sums[cells["i"], cells["j"]] = cells["x"]
     mean = sums[0, 1:] / sums[0, 0]
     return mean, sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean)
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowvigil.operators import context, history, isolation, risk
-from flowvigil.plans.detect import Models
-from flowvigil.plans.registry import query
+from flowvigil.plans.detect import Models, live_detections
+from flowvigil.plans.models import given_forest, given_score_sql
+from flowvigil.plans.registry import PARTS, query
 from flowvigil.plans.response import _SENT_SQL
 from flowvigil.plans.views import Tables, view_over
 from flowvigil.session import materialise, scratch_path
@@ -90,6 +91,45 @@ def _live(t):
     return t.spark.read.parquet(path)
 
 
+PARTS["live_scored"] = f"""
+select *, greatest(0e0, least(1e0, (raw - 4e-1)/(2e-1 + 1e-8))) as anomaly_score
+from (select *, {given_score_sql('packets', 'bytes', ('60e0', '6000e0'))} as raw from flows) as f"""
+_LIVE_COLUMNS = ("seq", "threat_id", "ts", "src_ip", "dst_port", "source", "is_anomaly", "anomaly_score", "risk_score", "severity",
+                 "recommended_action", "status")
+
+
+def _live_table(t):
+    """Detections with the given forest, written by one query in append mode."""
+    models = Models(given_forest(["packet_count", "byte_count"], (60.0, 6000.0)))
+    found = live_detections(view_over(_split_stream(t, 3), "flows"), models)
+    path = scratch_path(t.spark, "live-table")
+    jobs.run(found, _checkpoint(t, "live-table"), path=path)
+    return path, found.schema
+
+
+@query("st2_live_transform", """
+select flow_id as seq, 'RT-' || strftime(ts, '%Y%m%d') || '-' || cast(flow_id as varchar) as threat_id, ts, src_ip, dst_port, 'realtime' as source,
+  raw > 48e-2 as is_anomaly, anomaly_score, 28 + 20*anomaly_score as risk_score,
+  case when 28 + 20*anomaly_score < 40 then 'low' else 'medium' end as severity,
+  (select min_by(a.action, a.ord) from action_ranges a where 28 + 20*anomaly_score between a.lo and a.hi) as recommended_action,
+  'executed' as status from live_scored""", "anomaly_score risk_score")
+def _live_transform(t):
+    path, schema = _live_table(t)
+    return t.spark.read.schema(schema).parquet(path).select(*_LIVE_COLUMNS)
+
+
+@query("st2_live_transform_audit", """
+select src_ip, count(*) as events, count(*) filter (where raw > 48e-2) as anomalies, max(28 + 20*anomaly_score) as max_risk_score
+from live_scored group by 1""", "max_risk_score")
+def _live_audit(t):
+    """A second job reads the detections of the first as a stream and keeps its own table."""
+    path, schema = _live_table(t)
+    log = scratch_path(t.spark, "live-audit")
+    jobs.run(risk.audit_rows(jobs.stored_stream(t.spark, path, schema)), _checkpoint(t, "live-audit"), path=log)
+    return t.spark.read.schema(schema).parquet(log).groupBy("src_ip").agg(
+        F.count("*").alias("events"), F.count_if("is_anomaly").alias("anomalies"), F.max("risk_score").alias("max_risk_score"))
+
+
 @query("st2_live_detect_safe_mode", """
 select flow_id as seq, ts, src_ip, dst_ip, dst_port, 0e0 as anomaly_score, 'unknown' as threat_class, 28e0 as risk_score,
   'low' as severity, 'monitor' as recommended_action, 'executed' as status from flows""", "risk_score")
@@ -175,5 +215,5 @@ with g as (select src_ip, ts, seq, risk_score, case when epoch_us(ts) - epoch_us
   from scored window w as (partition by src_ip order by ts, seq)),
 r as (select *, sum(s) over (partition by src_ip order by ts, seq) as no from g)
 select src_ip, min(ts) as first_seen, count(*) as alerts, max(risk_score) as max_risk_score from r group by src_ip, no
-having count(*) >= 2 and max(ts) + interval '5 minutes' <= (select max(ts) from scored) - interval '10 minutes'""", "max_risk_score")(
+having count(*) >= 2 and max(ts) + interval '5 minutes' < (select max(ts) from scored) - interval '10 minutes'""", "max_risk_score")(
     lambda t: _sunk(t, jobs.correlated_alerts(risk.score_detections(view_over(_stream(t), "detections"))), "incidents"))

@@ -123,6 +123,15 @@ def live_detection(models: Models, detections_path: str, queue_path: str | None
     return each
 
 
+def stored_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that another job's file sink writes, as a stream: only files of whole batches are read.
+
+    So a job detects once (``plans.detect.live_detections``), and audit, approval queue, alerts and history are
+    jobs of their own on its table, each with its own checkpoint.
+    """
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def live_alerts(detections: DataFrame) -> DataFrame:
     """One alert per detection, ``logged`` where it is worth a line in the log; a plain projection, so no state."""
     scored = risk.score_detections(detections).withColumns({"threat_id": risk.event_threat_id(), "logged": worth_alert()})
@@ -220,9 +229,13 @@ def dedupe(events: DataFrame, row_id: str = "event_id", at: str = "ts", delay: s
 
 def correlated_alerts(alerts: DataFrame, key: str = "src_ip", seconds: int = 300, min_events: int = 2,
                       delay: str = "10 minutes") -> DataFrame:
-    """Incidents as event-time sessions of one source, emitted when a session closes."""
+    """Incidents as event-time sessions of one source, emitted when a session closes.
+
+    Alerts exactly ``seconds`` apart are one incident, as in ``policies.correlate_alerts``: a session's
+    end is exclusive, so its gap is a microsecond longer.
+    """
     sessions = alerts.withWatermark("ts", delay).groupBy(
-        F.session_window("ts", f"{seconds} seconds").alias("w"), key).agg(
+        F.session_window("ts", f"{seconds} seconds 1 microsecond").alias("w"), key).agg(
         F.count("*").alias("alerts"), F.max("risk_score").alias("max_risk_score"))
     return sessions.where(F.col("alerts") >= min_events).select(
         key, F.col("w.start").alias("first_seen"), "alerts", "max_risk_score")

@@ -143,3 +143,41 @@ def test_live_history_can_be_read_by_the_reports(spark):
     assert (row.source, row.process, row.src_port, row.protocol, row.service) == ("realtime", "curl", "5555", "6", "HTTPS")
     assert history.stats(kept, "realtime").first().total_actions == 1
     assert history.stats(kept, "simulation").first().total_actions == 0
+
+
+def test_live_transform_equals_the_batch(spark):
+    """With a flow a connection, the stream's projection gives what detection of the whole batch gives."""
+    from flowvigil.operators import context, isolation
+    from flowvigil.plans.detect import Models, detect, live_detections
+    from flowvigil.plans.views import Tables
+    flows = Tables(spark, "/root/testdata/sf0.001").flows.withColumn("connection_id", F.col("flow_id"))
+    flows = flows.withColumn("protocol", F.when(F.col("flow_id") % 9 > 0, F.col("protocol"))).withColumn(
+        "bytes", F.when(F.col("flow_id") % 11 > 0, F.col("bytes")))
+    forest = isolation.fit_isolation_forest(context.model_features(flows), context.MODEL_COLUMNS, "flow_id", trees=5, sample=64)
+    columns = ["seq", "ts", "src_ip", "is_anomaly", "anomaly_score", "threat_class", "risk_score", "severity", "recommended_action", "status"]
+    for models in (Models(forest), Models()):
+        found = live_detections(flows, models)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        want = detect(flows, models).select(*columns).toPandas().sort_values("seq").reset_index(drop=True)
+        have = found.select(*columns).toPandas().sort_values("seq").reset_index(drop=True)
+        pd.testing.assert_frame_equal(have, want)
+
+
+def test_sums_of_covariances(spark):
+    from flowvigil.operators.reconstruction import covariances
+    x = np.random.default_rng(1).normal(size=(500, 6))
+    mean, joint = covariances(spark.createDataFrame([(row.tolist(),) for row in x], "x array<double>").repartition(7), "x")
+    assert np.allclose(mean, x.mean(0)) and np.allclose(joint, np.cov(x.T, bias=True))
+    assert covariances(spark.createDataFrame([], "x array<double>"), "x")[1].shape == (0, 0)
+
+
+def test_alerts_exactly_one_gap_apart_are_one_incident(spark):
+    from flowvigil.operators import policies
+    seconds = [0, 300, 600, 901, 5000, 5300, 90_000]
+    df = spark.createDataFrame([(i, "a", s, 1.0) for i, s in enumerate(seconds)], "seq long, src_ip string, sec long, risk_score double")
+    df = df.withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    path = scratch_path(spark, "incidents")
+    jobs.run(jobs.correlated_alerts(arriving(spark, [df])()), scratch_path(spark, "checkpoint"), path=path)
+    have = sorted((r["first_seen"], r["alerts"]) for r in spark.read.parquet(path).collect())
+    assert have == sorted((r["first_seen"], r["alerts"]) for r in policies.correlate_alerts(df).collect()) and [n for _, n in have] == [3, 2]
