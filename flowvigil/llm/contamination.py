@@ -4,7 +4,8 @@ Test items are partitioned by the size of their shingle sets. Each keeps a MinHa
 shingles with the smallest hashes, as many as a document that holds ``share`` of the item can't
 all miss. A document is looked up by all its shingles in the sketches of the partitions whose
 items it is large enough to hold, so a short item is found inside a document of any length.
-Candidates are verified by exact containment of the item's shingle set.
+Candidates are verified by exact containment of the item's shingle set. Items of fewer words than a shingle are one
+more partition for each number of words: a document is looked up by all its runs of so many words.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent
     """Pairs of a document and an item of whose distinct shingles it holds at least ``percent``.
 
     Returns doc_id, item_id, n_shingles of the item, n_found. Words are runs of anything but
-    ASCII white space, A-Z in lower case; a text of fewer than ``shingle`` words is one shingle.
+    ASCII white space, A-Z in lower case. An item of fewer than ``shingle`` words is one shingle, and a document holds it that
+    has its words as a run.
     Null or blank texts hold nothing and are in nothing; rows that share an id are looked at each
     on their own; empty tables give no pairs. Items are searched in blocks of ``block_bytes`` of
     hashes: a larger benchmark takes more passes over the documents, never more memory.
@@ -104,19 +106,14 @@ def without_items(docs: DataFrame, items: DataFrame, keep_docs, shingle: int = S
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item as ``contained`` finds it, with all their columns; a row goes by its own text, whatever its id.
 
-    An item of fewer than ``shingle`` words is also found inside longer texts, as a run of its words.
     ``keep_docs`` writes a table once and returns it; it is used between the passes of a benchmark of several blocks.
     """
     for number, shared in enumerate(_item_blocks(items, shingle, block_bytes)):
         search = _searcher(shared, shingle, percent)
 
-        def keep(block, search=search, shared=shared):
+        def keep(block, search=search):
             out = np.ones(block.num_rows, bool)
             out[[d for d, *_ in search(block)]] = False
-            texts = Texts(block["text"]).lowered() if shared.value[1] else None
-            for size, hashes in shared.value[1].items():
-                h, off = runs_of(texts, size)
-                out[np.searchsorted(off, np.flatnonzero(np.isin(h, hashes)), "right") - 1] = False
             return pa.array(out)
         docs = keep_rows(keep_docs(docs) if number else docs, keep)
     return docs
@@ -124,18 +121,20 @@ def without_items(docs: DataFrame, items: DataFrame, keep_docs, shingle: int = S
 
 def _item_blocks(items: DataFrame, shingle: int, block_bytes: int):
     """Broadcasts, each with about ``block_bytes`` of hashes: a list of (item_id, sorted shingles), and for each number of
-    words under ``shingle`` the hashes of the items that have so many."""
+    words under ``shingle`` (hash, item_id) of the items that have so many."""
     sets = _item_sets(items, shingle)
     total = sets.agg(F.sum(F.octet_length("h"))).first()[0] or 0
     passes = max(1, -(-total // block_bytes))
     for number in range(passes):
         mine = sets if passes == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "h"), F.lit(passes)) == number)
-        block, short = [], {}
+        long, short = [], {}
         for r in mine.select("item_id", "n_words", "h").toLocalIterator():
-            block.append((r.item_id, np.frombuffer(r.h, U64)))
+            h = np.frombuffer(r.h, U64)
             if r.n_words < shingle:
-                short.setdefault(r.n_words, []).append(block[-1][1][0])
-        yield items.sparkSession.sparkContext.broadcast((block, {size: np.array(h, U64) for size, h in short.items()}))
+                short.setdefault(r.n_words, []).append((h[0], r.item_id))
+            else:
+                long.append((r.item_id, h))
+        yield items.sparkSession.sparkContext.broadcast((long, short))
 
 
 def _searcher(shared, shingle: int, percent: int):
@@ -143,10 +142,12 @@ def _searcher(shared, shingle: int, percent: int):
     made = {}
 
     def search(block):
-        sets = shared.value[0]
+        sets, short = shared.value
         if "index" not in made:
             made["index"] = _index(sets, percent)
-        h, off = shingles(Texts(block["text"]).lowered(), shingle)
+            made["short"] = {size: sorted(pairs, key=lambda p: p[0]) for size, pairs in short.items()}
+        texts = Texts(block["text"]).lowered()
+        h, off = shingles(texts, shingle)
         n_doc = np.diff(off)
         doc = np.repeat(np.arange(len(n_doc)), n_doc)
         pairs = set()
@@ -164,5 +165,13 @@ def _searcher(shared, shingle: int, percent: int):
             common = int(np.isin(want, have[1], assume_unique=True).sum())
             if 100 * common >= percent * len(want):
                 rows.append((d, item, len(want), common))
+        for size, pairs in made["short"].items():
+            known = np.array([h for h, _ in pairs], U64)
+            h, off = runs_of(texts, size)
+            low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+            hit = np.flatnonzero(low < high)
+            doc = np.searchsorted(off, hit, "right") - 1
+            for d, a, b in sorted(set(zip(doc.tolist(), low[hit].tolist(), high[hit].tolist()))):
+                rows += [(d, item, 1, 1) for _, item in pairs[a:b]]
         return rows
     return search

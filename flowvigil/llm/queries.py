@@ -142,15 +142,15 @@ select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_ag
 from c group by conv_id"""
 
 
-def _shingles(of: str, key: str) -> str:
+def _grams(of: str, key: str, sizes: str) -> str:
+    """The distinct runs of words of the given sizes, as one text each."""
     words = _WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")
-    return f"""(select distinct k, s from (select k, unnest(case when len(w) >= 5
-        then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-        when len(w) > 0 then [array_to_string(w, ' ')] end) as s from (select {key} as k, {words} as w from {of})))"""
+    return f"""(select distinct k, array_to_string(w[i:i + size - 1], ' ') as s from (
+        select k, w, size, unnest(range(1, len(w) - size + 2)) as i from (select k, w, unnest({sizes}) as size from (select {key} as k, {words} as w from {of}))))"""
 
 
 _CONTAINED_SQL = f"""
-with item as {_shingles('benchmark', 'item_id')}, doc as {_shingles('documents', 'doc_id')},
+with item as {_grams('benchmark', 'item_id', '[least(5, greatest(len(w), 1))]')}, doc as {_grams('documents', 'doc_id', '[1, 2, 3, 4, 5]')},
 size as (select k, count(*) as n from item group by k)
 select doc.k as doc_id, item.k as item_id, any_value(n)::bigint as n_shingles, count(*)::bigint as n_found
 from doc join item using (s) join size on size.k = item.k group by all having 100 * count(*) >= 80 * any_value(n)"""

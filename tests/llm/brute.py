@@ -125,7 +125,7 @@ def contained(docs, items, size=5, percent=80):
     sets = [(i, shingle_set(t, size)) for i, t in items]
     out = []
     for d, t in docs:
-        have = shingle_set(t, size)
+        have = set().union(*(shingle_set(t, n) for n in range(1, size + 1)))
         for i, s in sets:
             if s and 100 * len(s & have) >= percent * len(s):
                 out.append((d, i, len(s), len(s & have)))

@@ -285,7 +285,8 @@ def test_contained(spark, small):
     docs, rows = docs_of(spark, small)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     items += [(900, None), (901, " "), (902, "a b c"), (None, "É" * 5000), (900, "other words here, far away")]
-    rows += ODD
+    items += [(903, "b"), (904, "B c"), (904, "b  C d e"), (905, "nowhere to be seen"), (906, "b c d e f g h i j k l")]
+    rows += ODD + [(300, "x y a b c d e f g h i j k l " * 400), (301, "a c b d e b"), (302, "c d e")]
     item_df = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     want = sorted(brute.contained(rows, items), key=str)
     for size in (1 << 20, 500):
