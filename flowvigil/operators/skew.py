@@ -7,8 +7,10 @@ window runs per (key, chunk), and the little state that crosses a chunk border
 
 Bounds on what is broadcast: a key counts as hot only when it holds more than
 ``HOT_SHARE`` of all rows, so there are at most ``1 / HOT_SHARE`` hot keys whatever
-the data size, and at most twice as many chunks in total. Data without hot keys
-pays one count per key and nothing else.
+the data size, and at most a few times as many chunks in total. The number of chunks
+of a key follows its rows, so a chunk stays near the limit however hot the key is;
+only rows of one and the same time are never parted. Data without hot keys pays one
+count per key and nothing else.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from flowvigil.session import shared_dir
 
 HOT_SHARE = 1 / 131072
 HOT_MIN_ROWS = 500_000
-MAX_CHUNKS = 4096  # a power of two: chunks are found by halving
+CUTS = 4096  # cuts that one sketch makes; a chunk that is still too large is cut again
+HALVINGS = 20  # chunks are found by halving, which does for 2**20 - 1 cuts of a key
 
 
 def as_column(c: str | Column) -> Column:
@@ -81,16 +84,39 @@ def find_hot(df: DataFrame, keys: Sequence[str], at: str | None = None, min_rows
     if at is None:
         return hot.select(*keys)
     hot_rows = null_safe_join(df.select(*keys, _position(df, at).alias("_pos")),
-                              F.broadcast(hot), keys, "inner")
-    cuts = ", ".join(f"{i / MAX_CHUNKS}D" for i in range(1, MAX_CHUNKS))
-    bounds = hot_rows.groupBy(*keys).agg(
-        F.expr(f"percentile_approx(_pos, array({cuts}), {MAX_CHUNKS * 10})").alias("_bounds"),
-        F.least(F.lit(MAX_CHUNKS), F.ceil(F.max("_n") / F.max("_limit"))).alias("_pieces"))
+                              F.broadcast(hot.select(*keys)), keys, "inner")
+    spread = spark.createDataFrame(_cut(hot_rows, keys, limit).collect(), _cut_schema(hot_rows, keys))
+    while largest > limit * CUTS:  # else the first cut has made enough pieces
+        placed = null_safe_join(hot_rows, F.broadcast(spread), keys, "inner").withColumn("_chunk", _chunk_of(F.col("_pos")))
+        # the rows of one time cannot be parted, so only chunks with room between their ends count
+        large = placed.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi")).where(
+            (F.col("_n") > 2 * limit) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_chunk")
+        large = spark.createDataFrame(large.collect(), large.schema)
+        if large.isEmpty():
+            return spread
+        inside = null_safe_join(placed.select(*keys, "_chunk", "_pos"), F.broadcast(large), [*keys, "_chunk"], "inner")
+        finer = _cut(inside, [*keys, "_chunk"], limit).select(*keys, "_bounds")
+        before = spread.agg(F.sum(F.size("_bounds"))).first()[0]
+        spread = spark.createDataFrame(spread.unionByName(finer).groupBy(*keys).agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_bounds")))).alias("_bounds")).collect(), spread.schema)
+        if spread.agg(F.sum(F.size("_bounds"))).first()[0] == before:
+            break
+    return spread
+
+
+def _cut_schema(rows: DataFrame, keys: Sequence[str]):
+    return rows.select(*keys, F.array("_pos").alias("_bounds")).schema
+
+
+def _cut(rows: DataFrame, groups: Sequence[str], limit: float) -> DataFrame:
+    """(groups, _bounds): values of ``_pos`` that cut each group into pieces of about ``limit`` rows, ``CUTS`` at most."""
+    cuts = ", ".join(f"{i / CUTS}D" for i in range(1, CUTS))
+    bounds = rows.groupBy(*groups).agg(
+        F.expr(f"percentile_approx(_pos, array({cuts}), {CUTS * 10})").alias("_bounds"),
+        F.least(F.lit(CUTS), F.ceil(F.count("*") / F.lit(float(limit)))).alias("_pieces"))
     # keep _pieces - 1 of the cuts, evenly spread
-    bounds = bounds.select(*keys, F.array_distinct(F.filter(
-        "_bounds", lambda b, i: ((i + 1) * F.col("_pieces")) % MAX_CHUNKS < F.col("_pieces")
-    )).alias("_bounds"))
-    return spark.createDataFrame(bounds.collect(), bounds.schema)
+    return bounds.select(*groups, F.array_distinct(F.filter(
+        "_bounds", lambda b, i: ((i + 1) * F.col("_pieces")) % CUTS < F.col("_pieces"))).alias("_bounds"))
 
 
 AUTO = "auto"
@@ -102,7 +128,7 @@ def _resolve(hot, df: DataFrame, keys: Sequence[str], at: str | None) -> DataFra
 
 def _chunk_of(position: Column) -> Column:
     """How many of the sorted ``_bounds`` lie below ``position``."""
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range(MAX_CHUNKS.bit_length() - 1))])
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(HALVINGS))])
     below = F.aggregate(steps, F.lit(0), lambda found, step: F.when(
         F.get("_bounds", found + step - 1) < position, found + step).otherwise(found))
     return F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below)
@@ -204,19 +230,24 @@ def trailing_counts(df: DataFrame, key: str, at: str, row_id: str, windows: Mapp
                 name: F.count("*").over(by_time.rangeBetween(-seconds * 1_000_000 + 1, 0))
                 for name, seconds in windows.items()})
 
-    # the row travels with its own point, so no id is needed to bring the counts back
+    # The row travels with its own points. Rows of equal content have equal counts, so they are
+    # brought back together by content; a row number given by a task would change if the task ran again.
     row = F.struct(*[F.col(c) for c in df.columns])
     points = [F.struct(moment.alias("_t"), F.lit(1).alias("_add"), F.lit(0).alias("_what"), row.alias("_row"))]
     points += [F.struct((moment - seconds * 1_000_000).alias("_t"), F.lit(0).alias("_add"), F.lit(i).alias("_what"),
                         F.when(F.lit(False), row).alias("_row")) for i, seconds in enumerate(windows.values(), start=1)]
-    asked = df.withColumn("_uid", F.monotonically_increasing_id()).select(key, "_uid", F.inline(F.array(*points)))
+    content = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema]
+    content += [F.col(c).isNull() for c in df.columns]
+    asked = df.withColumns({"_h0": F.xxhash64(*content), "_h1": F.xxhash64(F.lit(1), *content)}).select(
+        key, "_h0", "_h1", F.inline(F.array(*points)))
     counted = scan_in_order(asked, key, ["_t"], sums={"_upto": F.col("_add")}, peers=True, hot=hot)
     upto = [F.max(F.when(F.col("_what") == i, F.col("_upto"))) for i in range(len(windows) + 1)]
     no_time = F.max("_t").isNull()  # rows without a time count each other, as in a range frame
-    counts = counted.groupBy("_uid").agg(F.first("_row", ignorenulls=True).alias("_row"), *[
-        F.when(no_time, upto[0]).otherwise(upto[0] - upto[i]).cast("bigint").alias(name)
-        for i, name in enumerate(windows, start=1)])
-    return counts.select("_row.*", *windows)
+    counts = counted.groupBy(key, "_h0", "_h1").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.sum("_add").alias("_copies"), *[
+            F.when(no_time, upto[0]).otherwise(upto[0] - upto[i]).cast("bigint").alias(name)
+            for i, name in enumerate(windows, start=1)])
+    return counts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*", *windows)
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_no") -> DataFrame:

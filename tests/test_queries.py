@@ -34,7 +34,7 @@ def test_equals_sql(spark, duck, key):
 def test_equals_sql_when_every_busy_key_is_split(spark, duck, key, monkeypatch):
     """The same results when keys with more than a few rows take the hot path."""
     few = key.startswith("q1")  # many small keys
-    monkeypatch.setattr(skew, "MAX_CHUNKS", 16)
+    monkeypatch.setattr(skew, "CUTS", 16)
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", 1 if few else 15)
     monkeypatch.setattr(skew, "HOT_SHARE", 0.0015 if few else 0.015)
     found = []

@@ -9,7 +9,7 @@ from flowvigil.operators import skew
 
 @pytest.fixture(autouse=True)
 def fewer_chunks(monkeypatch):
-    monkeypatch.setattr(skew, "MAX_CHUNKS", 64)
+    monkeypatch.setattr(skew, "CUTS", 64)
 
 
 def hot_of(df, keys=("user",), at="ts"):
@@ -39,6 +39,19 @@ def test_hot_key_is_cut_into_chunks(skewed):
     assert per_chunk.agg(F.max("count")).first()[0] < 80
 
 
+def test_chunks_stay_at_the_limit_when_one_cut_is_not_enough(skewed, monkeypatch):
+    """Four pieces a cut: a key with 40 times the limit is cut three times; a crowded time stays whole."""
+    monkeypatch.setattr(skew, "CUTS", 4)
+    _, df = skewed
+    crowd = df.where("id < 200").withColumn("ts", F.timestamp_seconds(F.lit(1000))).withColumn("user", F.lit(0).cast("bigint"))
+    df = df.unionByName(crowd)
+    bounds = hot_of(df)
+    per_chunk = skew.with_chunks(df, ["user"], "ts", bounds).where("user = 0").groupBy("_chunk").agg(
+        F.count("*").alias("n"), F.count_if(F.col("ts") != F.timestamp_seconds(F.lit(1000))).alias("others"))
+    assert per_chunk.count() > 16
+    assert per_chunk.agg(F.max("others")).first()[0] <= 60
+
+
 def test_scan_in_order_matches_pandas(skewed):
     pdf, df = skewed
     out = skew.scan_in_order(df, "user", ["ts", "id"], lags={"prev_v": "v", "prev_id": "id"},
@@ -138,6 +151,15 @@ def test_both_ways_of_trailing_counts_agree_on_awkward_rows(spark):
     assert have[0] == have[1] and len(have[0]) == len(rows) and ways[0].columns == ways[1].columns
 
 
+def test_trailing_counts_keep_repeated_rows_and_maps(spark):
+    from datetime import datetime, timedelta
+    base = datetime(2024, 1, 1)
+    rows = [("a", base, 1, {"x": "1"})] * 3 + [("a", base + timedelta(seconds=4), None, None), ("a", base + timedelta(seconds=4), None, {})]
+    df = spark.createDataFrame(rows, "user string, ts timestamp, row_id long, props map<string, string>")
+    out = skew.trailing_counts(df, "user", "ts", "row_id", {"ten": 10}, frame_rows=0).collect()
+    assert sorted(r["ten"] for r in out) == [3, 3, 3, 5, 5] and sorted(r["props"] is None for r in out) == [False] * 4 + [True]
+
+
 def test_quantiles_leave_nan_out(spark):
     from flowvigil.operators.skew import exact_quantiles
     nan = float("nan")
