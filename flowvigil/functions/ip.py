@@ -11,6 +11,15 @@ _OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
+def ipv4_number(ip: Column) -> Column:
+    """The 32 bits of a dotted IPv4 address as a number; null for any other text."""
+    parts = F.split(ip, r"\.")
+    number = F.lit(0).cast("bigint")
+    for i in range(4):
+        number = number * 256 + F.get(parts, F.lit(i)).try_cast("bigint")
+    return F.when(ip.rlike(_IPV4), number)
+
+
 def _network_pattern(network: str, bits: int) -> str:
     """A regular expression for the addresses of one network, octet by octet."""
     octets = network.split(".")

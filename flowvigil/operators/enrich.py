@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowvigil import dims
 from flowvigil.functions.ip import ip_location, ip_type
+from flowvigil.operators.networks import longest_prefix
 
 
 def port_service(df: DataFrame, port: str = "dst_port") -> DataFrame:
@@ -26,3 +27,8 @@ def ip_types(df: DataFrame, column: str, name: str = "ip_type") -> DataFrame:
 
 def ip_locations(df: DataFrame, column: str, name: str = "location") -> DataFrame:
     return df.withColumn(name, ip_location(ip_type(column)))
+
+
+def network_labels(df: DataFrame, column: str, networks: DataFrame, row_id: str) -> DataFrame:
+    """The columns of a table of networks, of any size, for each row's address; the longest prefix decides."""
+    return longest_prefix(df, column, networks, row_id)

@@ -69,6 +69,12 @@ def _addresses(t):
 query("i2_ip_type", "select event_id, ip, ip_type from typed_addresses")(
     lambda t: enrich.ip_types(_addresses(t), "ip"))
 
+query("i2_network_type", """
+select event_id, ip, case when ip_type in ('invalid', 'public') then null else ip_type end as kind from typed_addresses""")(
+    lambda t: enrich.network_labels(_addresses(t), "ip", t.spark.createDataFrame(
+        [(f"{network}/{bits}", None if kind == "public" else kind) for _, network, bits, kind in dims.IPV4_TYPES],
+        "network string, kind string"), "event_id"))
+
 query("i3_ip_location", """
 select event_id, ip, case ip_type when 'loopback' then 'Local Machine' when 'private' then 'Local Network'
   else 'Internet' end as location from typed_addresses""")(

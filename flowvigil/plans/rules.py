@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowvigil.operators import evaluate, policies, risk, rules
+from flowvigil.operators import evaluate, networks, policies, risk, rules
 from flowvigil.plans.registry import PARTS, query
 from flowvigil.session import scratch_path
 from flowvigil.sources import sinks
@@ -181,3 +181,34 @@ where s.level is not null or d.level is not null""")(
         t.flows.select("flow_id", "src_ip", "dst_ip"),
         t.flows.where("user_id % 9 = 0").select(F.col("src_ip").alias("ip"), F.lit("high").alias("level")).union(
             t.flows.where("dst_ip like '93.%.1'").select("dst_ip", F.lit("low"))).distinct()))
+
+# nested networks with host bits set, single addresses, and texts that are no networks
+_NETWORK_FEED_SQL = """
+select concat('203.0.113.', cast(user_id%250 + 1 as varchar(10)), '/', cast(25 + user_id%7 as varchar(10))) as network,
+  case when user_id%3 = 0 then 'high' else 'medium' end as level from flows where user_id%4 = 0
+union select concat('203.', cast(user_id%3 as varchar(10)), '.113.9/', cast(8 + user_id%16 as varchar(10))), 'low' from flows where user_id%10 = 5
+union select concat('10.0.', cast(packets%4 as varchar(10)), '.0/24'), 'low' from flows where packets%2 = 1
+union select concat('8.8.4.', cast(user_id%250 + 1 as varchar(10)), '/', cast(user_id%40 as varchar(10))), 'critical' from flows where user_id%5 = 1 and user_id%40 > 24
+union select dst_ip, 'critical' from flows where dst_ip like '93.%.1'
+union select concat('93.184.216.300/', cast(user_id%3 as varchar(10))), 'high' from flows where user_id%7 = 0"""
+PARTS["network_feed"] = _NETWORK_FEED_SQL
+PARTS["networks"] = """
+select bits, n - n%(cast(1 as bigint) << (32 - bits)) as lo, max_by(network, (rank, network)) as network, max_by(level, (rank, network)) as level from (
+  select network, level, list_position(['low','medium','high','critical'], level) as rank,
+    case when network like '%/%' then cast(split_part(network,'/',2) as int) else 32 end as bits,
+    list_reduce(list_transform(string_split(split_part(network,'/',1),'.'), lambda x: cast(x as bigint)), lambda a, b: a*256 + b) as n
+  from network_feed where network not like '%.300/%') as p where bits <= 32 group by 1, 2"""
+PARTS["flow_numbers"] = """
+select flow_id, src_ip, dst_ip, list_reduce(list_transform(string_split(src_ip,'.'), lambda x: cast(x as bigint)), lambda a, b: a*256 + b) as s,
+  list_reduce(list_transform(string_split(dst_ip,'.'), lambda x: cast(x as bigint)), lambda a, b: a*256 + b) as d from flows"""
+PARTS["covered"] = """
+select n, max_by(network, bits) as network, max_by(level, bits) as level
+from (select distinct s as n from flow_numbers union select d from flow_numbers) as a
+join networks w on a.n between w.lo and w.lo + (cast(1 as bigint) << (32 - w.bits)) - 1 group by 1"""
+
+query("x9_network_match", """
+select flow_id, src_ip, dst_ip, s.network as src_network, s.level as src_level, d.network as dst_network, d.level as dst_level
+from flow_numbers f left join covered s on f.s = s.n left join covered d on f.d = d.n
+where s.network is not null or d.network is not null""")(
+    lambda t: networks.match_networks(t.flows.select("flow_id", "src_ip", "dst_ip"), t.spark.sql(
+        _NETWORK_FEED_SQL.replace("from flows", "from {flows}"), flows=t.flows)))
