@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from flowvigil.operators import baselines, clean, context, ensemble, evaluate, isolation, kmeans, reconstruction
+from flowvigil.operators import baselines, clean, context, curved, ensemble, evaluate, isolation, kmeans, reconstruction
 from flowvigil.plans.registry import PARTS, query
 from flowvigil.session import materialise, scratch_path
 
@@ -42,6 +42,14 @@ def _reconstruction(t):
     return reconstruction.fit_autoencoder(wide, columns, "vec_id", encoding_dim=32).score(wide, "vec_id")
 
 
+@query("d3_curved_reconstruction")
+def _curved(t):
+    vectors = t.table("embeddings")
+    columns = [f"v{i}" for i in range(64)]
+    wide = vectors.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)])
+    return curved.fit_curved_autoencoder(wide, columns, "vec_id").score(wide, "vec_id")
+
+
 @query("d3_error_threshold", """
 with e as (select event_id, value as error from events), q as (select quantile_cont(error, 0.95) as thr from e)
 select event_id, error, greatest(0e0, least(1e0, error/(thr + 1e-8))) as anomaly_score, error > thr as is_anomaly
