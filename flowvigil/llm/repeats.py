@@ -5,8 +5,9 @@ with the smallest hash. Equal windows have equal anchors, and neighbouring windo
 share one, so a run of windows travels as one short piece of text.
 
 1. ``packs``: documents are dealt into packs of a few MB by a hash of the id.
-2. Each pack sends the distinct hashes of its anchors to buckets; a bucket answers which of
-   them are in two packs or more. All others are settled inside their pack.
+2. Each pack sends the distinct hashes of its anchors (or of anchors with half of what a window has
+   beside them) to buckets; a bucket answers which of them are in two packs or more. All others
+   are settled inside their pack.
 3. Each pack sends the distinct pieces around shared anchors, each with its smallest owner:
    however often a passage is copied, it counts once a pack. Anchors in very many packs are
    sent window by window and dealt by the window, so no bucket gathers a frequent anchor.
@@ -58,6 +59,7 @@ class Plan:
     buckets: int
     hot_packs: int
     same: Callable[..., np.ndarray]
+    halves: bool = False
 
 
 class Pack:
@@ -95,10 +97,38 @@ class Pack:
         first = np.flatnonzero(np.diff(a, prepend=-1))  # pieces cut by STEP become one again
         self.a, self.p, self.g = a[first], p[first], g[first].astype(U64)
         self.c = np.add.reduceat(c, first) if len(first) else c
+        self.anchor = self.g
+        if plan.halves and len(first):
+            self._halve()
+
+    def _halve(self) -> None:
+        """Cut each piece in two, by whether its windows reach further to the left or to the right of the anchor.
+
+        ``g`` becomes the hash of the anchor with what all windows of the half have beside it. Equal windows
+        have equal anchors at equal distances, so they are in halves of equal hashes.
+        """
+        plan = self.plan
+        left = (plan.width - plan.k + 1) // 2
+        right = plan.width - plan.k - left + 1
+        first = np.clip(self.a - self.p - left + 1, 0, self.c)
+        a, anchor = np.repeat(self.a, 2), np.repeat(self.anchor, 2)
+        p = np.column_stack([self.p, self.p + first]).ravel()
+        c = np.column_stack([first, self.c - first]).ravel()
+        g = np.zeros((len(first), 2), U64)
+        for side, (before, after) in enumerate(((left, 0), (0, right))):
+            some = np.flatnonzero(c[side::2])
+            at = self.a[some]
+            g[some, side] = mix(poly(self.tokens, at - before, at + plan.k + after, BASES[1], self.values) + U64(side))
+        real = c > 0
+        self.a, self.p, self.c, self.g, self.anchor = a[real], p[real], c[real], g.ravel()[real], anchor[real]
 
     def select(self, where: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
-        """The pieces at ``where``; those flagged in ``hot`` window by window."""
-        a, p, c, g = self.a[where], self.p[where], self.c[where], self.g[where]
+        """The pieces at ``where``, two halves as one; those flagged in ``hot`` window by window."""
+        a, p, c, g = self.a[where], self.p[where], self.c[where], self.anchor[where]
+        second = np.zeros(len(a) + 1, bool)
+        second[1:-1] = (a[1:] == a[:-1]) & ~hot[1:] & ~hot[:-1]
+        c = c + np.where(second[1:], np.append(c[1:], 0), 0) if len(c) else c
+        a, p, c, g, hot = (v[~second[:-1]] for v in (a, p, c, g, hot))
         times = np.where(hot, c, 1)
         row = np.repeat(np.arange(len(a)), times)
         step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -347,15 +377,16 @@ def _mark(plan: Plan, finish):
 
 
 def repeats(docs: DataFrame, *, width: int, k: int, unit: str, within: bool, same, finish, schema: str,
-            pack_bytes: int = PACK_BYTES, hot_packs: int = HOT_PACKS) -> DataFrame:
+            pack_bytes: int = PACK_BYTES, hot_packs: int = HOT_PACKS, halves: bool = False) -> DataFrame:
     """Apply ``finish(pack, covered)`` to every pack, ``covered`` flagging the tokens that repeated windows cover.
 
-    ``docs`` has columns doc_id (long) and text; null ids come after all others.
+    ``docs`` has columns doc_id (long) and text; null ids come after all others. With ``halves`` packs tell each
+    other the anchors with what stands left or right of them: more hashes, but few pieces that share a short phrase only.
     """
     sized = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     packs = max(1, -(-sized // pack_bytes))
     k = max(k, width - 31)  # the windows of an anchor are the bits of 32
-    plan = Plan(width, k, unit, within, max(8, -(-sized // BUCKET_BYTES)), hot_packs, same)
+    plan = Plan(width, k, unit, within, max(8, -(-sized // BUCKET_BYTES)), hot_packs, same, halves)
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(packs)).cast("int").alias("pack"))
     by_pack = dealt.groupBy("pack")
     shared = (by_pack.applyInArrow(_send_grams(plan), GRAMS)

@@ -74,4 +74,4 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, k: int | None = None
     table gives an empty result.
     """
     return repeats(docs.select("doc_id", "text"), width=width, k=k or max(1, width * 2 // 5), unit="bytes", within=False,
-                   same=radix_groups, finish=_finish, schema=SCHEMA, **options)
+                   same=radix_groups, finish=_finish, schema=SCHEMA, halves=True, **options)
