@@ -4,25 +4,29 @@
    one-permutation MinHash of ``BINS`` bins; empty bins are filled by optimal densification.
    Documents with equal sets become one class at once.
 2. Classes meet in banded buckets. A bucket proposes a star: its smallest member with each other.
-3. Proposed links are confirmed on the full sets, read again for these documents only, and
-   components are found by contracting stars (no list of neighbours, nothing on the driver).
+3. Proposed links are confirmed on the full sets, read again for these documents only (a broadcast
+   table of bits of bounded size keeps most other texts out of the shuffle), and components are
+   found by contracting stars (no list of neighbours, nothing on the driver).
 4. A star alone can miss a link between two members that both differ from its centre. So in
    buckets whose members are still in several components, all pairs across components that
    the sizes of their shared shingles allow are tried too, block against block inside tasks; no
    rows of pairs are made. With that, no link between documents that meet in any bucket is lost.
+
+Steps are written to the shared folder and removed once the steps that read them are written.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowvigil.llm.contamination import shingles
 from flowvigil.llm.tasks import map_blocks
 from flowvigil.llm.text import U64, Texts, mix
-from flowvigil.session import materialise
+from flowvigil.session import scratch_path
+from flowvigil.sources.folders import Folders
 
 BINS, ROWS = 128, 4
 _EMPTY = np.iinfo(np.uint64).max
@@ -31,6 +35,48 @@ LAST_ID = np.iinfo(np.int64).max
 # Members of a star or of a block of a bucket that a task confirms at a time, and their shingles (8 bytes each).
 STAR_PART = 400
 STAR_SHINGLES = 4 << 20
+# Rows, of 64 bits each, of the broadcast table that ids are looked up in before their texts are shuffled.
+MARKS = 1 << 18
+
+
+class Steps:
+    """Steps of a job, written as Parquet to the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "near")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *steps: DataFrame) -> None:
+        """Remove steps that nothing reads any more."""
+        for step in steps:
+            Folders(self.spark).delete(self.paths.pop(id(step))[1])
+
+
+def _gap(docs: DataFrame) -> int:
+    """A number that no doc_id is: the largest one, or else one of a few others."""
+    tried = [LAST_ID, -LAST_ID - 1, *((0x5851F42D4C957F2D * n + 0x14057B7EF767814F) % LAST_ID for n in range(6))]
+    used = docs.agg(*(F.max(F.col("doc_id") == F.lit(n)).alias(f"u{i}") for i, n in enumerate(tried))).first()
+    return next(n for n, u in zip(tried, used) if not u)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is a ``v`` of ``ids``.
+
+    Each id is one bit of a table of MARKS words, which is broadcast; rows without their bit are left out before
+    the shuffle of the exact join. The more ids, the more rows get through to it; none is lost.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS * 64))
+    marks = (ids.select(bit("v").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("marks")))
+    dealt = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text").withColumn("bit", bit("doc_id"))
+    some = dealt.join(F.broadcast(marks), F.shiftright("bit", 6) == F.col("word")).filter("shiftright(marks, cast(bit & 63 as int)) & 1 = 1")
+    return some.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("v"), "left_semi")
 
 
 def _parts(size: str) -> F.Column:
@@ -95,11 +141,10 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_blocks(docs.select("doc_id", "text"), run, "v long, h binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, steps: Steps) -> DataFrame:
     """The pairs (v, c) of ``pairs`` (v, c, n: shingles of v) whose sets have 100 * intersection >= percent * union."""
     needed = pairs.select("v").union(pairs.select("c")).distinct()
-    ids = F.coalesce("doc_id", F.lit(LAST_ID))
-    sets = materialise(full_sets(docs.select("doc_id", "text").join(needed, ids == F.col("v"), "left_semi"), shingle))
+    sets = steps.write(full_sets(_texts_of(docs, needed), shingle))
     parts = pairs.groupBy("c").agg(_parts("n").alias("parts"))
     centres = (parts.join(sets.withColumnRenamed("v", "c"), "c")
                .select(F.col("c").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("kpart"), F.col("h").alias("kh")))
@@ -114,27 +159,32 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
                 if _linked(a, np.frombuffer(h.as_buffer(), U64), percent):
                     good.append(v)
         return pa.table({"v": pa.array(good, pa.int64()), "c": pa.array([key[0].as_py()] * len(good), pa.int64())})
-    return members.groupBy("c", "part").cogroup(centres.groupBy("k", "kpart")).applyInArrow(run, "v long, c long").distinct()
+    links = steps.write(members.groupBy("c", "part").cogroup(centres.groupBy("k", "kpart")).applyInArrow(run, "v long, c long").distinct())
+    steps.drop(sets)
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """(v, component) of every vertex of ``edges`` (v, c); the component is its smallest vertex.
 
     Alternates the two star contractions until the edges stay the same; each round is written to the shared folder.
     """
-    now = materialise(edges.select(F.greatest("v", "c").alias("v"), F.least("v", "c").alias("c")).filter("v > c").distinct())
+    now = steps.write(edges.select(F.greatest("v", "c").alias("v"), F.least("v", "c").alias("c")).filter("v > c").distinct())
     before = None
     while True:
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, c))")).first()
         if state == before:
-            return now.select("v", F.col("c").alias("component")).union(now.select("c", "c").distinct())
+            found = steps.write(now.select("v", F.col("c").alias("component")).union(now.select("c", "c").distinct()))
+            steps.drop(now)
+            return found
         before = state
         both = now.union(now.select("c", "v"))
         large = (both.join(both.groupBy("v").agg(F.least(F.min("c"), F.col("v")).alias("m")), "v")
                  .filter("c > v").select(F.col("c").alias("v"), F.col("m").alias("c")).filter("v > c").distinct())
         low = large.groupBy("v").agg(F.min("c").alias("m"))
-        now = materialise(large.join(low, "v").filter("c > m").select(F.col("c").alias("v"), F.col("m").alias("c"))
-                          .union(low.select("v", "m")).distinct())
+        last, now = now, steps.write(large.join(low, "v").filter("c > m").select(F.col("c").alias("v"), F.col("m").alias("c"))
+                                     .union(low.select("v", "m")).distinct())
+        steps.drop(last)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -146,43 +196,51 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int
     and with what any of them is linked with. Null ids count as one id after all others; it is null
     in the result, and kept if alone. Other columns are not looked at; an empty table gives none.
     """
-    docs = docs.select("doc_id", "text")
-    made = materialise(sketches(docs, shingle, bins, rows))
+    steps, gap, id_ = Steps(docs.sparkSession), _gap(docs), F.col("doc_id")
+    # ids above the gap move down by one, so that the largest number is free for null
+    docs = docs.select(F.when(id_.isNull(), LAST_ID).when(id_ > gap, id_ - 1).otherwise(id_).alias("doc_id"), "text")
+    made = steps.write(sketches(docs, shingle, bins, rows))
     some = made.filter("n_shingles > 0")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands"))
-    classes = materialise(classes)
+    classes = steps.write(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands")))
+    sets = steps.write(made.drop("bands"))
+    steps.drop(made)
     members = classes.select("v", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.min("v").alias("c"), F.max("v").alias("other")).filter("c < other").drop("other")
-    members = materialise(members.join(crowded, "bucket").select("bucket", "v", "n", "c"))
+    members = steps.write(members.join(crowded, "bucket").select("bucket", "v", "n", "c"))
     possible = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = classes.select(F.col("v").alias("c"), F.col("n_shingles").alias("cn"))
     pairs = members.filter("v > c").select("v", "c", "n").distinct().join(sizes, "c").filter(possible(F.col("n"), F.col("cn")))
-    links = materialise(confirm(materialise(pairs.select("v", "c", "n").distinct()), docs, shingle, percent))
-    groups = materialise(components(links))
+    pairs = steps.write(pairs.select("v", "c", "n").distinct())
+    links = confirm(pairs, docs, shingle, percent, steps)
+    steps.drop(pairs)
+    groups = components(links, steps)
     named = members.select("bucket", "v", "n").join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
     split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
-    more = materialise(_rest(materialise(named.join(split, "bucket")), classes, docs, shingle, percent))
+    named = steps.write(named.join(split, "bucket"))
+    steps.drop(members)
+    more = _rest(named, classes, docs, shingle, percent, steps)
+    steps.drop(named)
     if not more.isEmpty():
-        groups = materialise(components(links.union(more)))
+        steps.drop(groups)
+        groups = components(links.union(more), steps)
     ids = classes.select("s1", "s2", "n_shingles", "v").join(groups, "v", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("component", "v").alias("component"))
-    out = (made.drop("bands").join(ids, ["s1", "s2", "n_shingles"], "left")
+    ids = steps.write(ids)
+    steps.drop(classes, groups, links, more)
+    out = (sets.join(ids, ["s1", "s2", "n_shingles"], "left")
            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
+    real = lambda c: F.when(F.col(c) < LAST_ID, F.when(F.col(c) >= gap, F.col(c) + 1).otherwise(F.col(c)))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"),
                       (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def own_shingles(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(v, own): how many shingles of each member stand in no other member."""
-    ids = F.coalesce("doc_id", F.lit(LAST_ID))
-
     def run(block):
         h, off = _sets(block, shingle)
         lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))
         return pa.table({"v": block["doc_id"].fill_null(LAST_ID), "hs": lists})
-    wanted = docs.select("doc_id", "text").join(members.select("v").distinct(), ids == F.col("v"), "left_semi")
-    single = (map_blocks(wanted, run, "v long, hs array<long>").select("v", F.explode("hs").alias("h"))
+    single = (map_blocks(_texts_of(docs, members.select("v").distinct()), run, "v long, hs array<long>").select("v", F.explode("hs").alias("h"))
               .groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("times")).filter("times = 1"))
     return single.groupBy("v").agg(F.count("*").alias("own"))
 
@@ -206,7 +264,7 @@ def _pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 2
 
 
-def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, steps: Steps) -> DataFrame:
     """Links (v, c) between members of one bucket that are in different components.
 
     Shingles that only one of these members has are in no intersection, so copies that were
@@ -215,7 +273,7 @@ def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, p
     sets, then with the sets of those members that have a pair left.
     """
     rest = named.join(own_shingles(named, docs, shingle), "v", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    rest = materialise(rest.filter(100 * F.col("most") >= percent * F.col("n")))
+    rest = steps.write(rest.filter(100 * F.col("most") >= percent * F.col("n")))
     parts = rest.groupBy("bucket").agg(_parts("n").alias("parts"), F.min("component").alias("a"),
                                        F.max("component").alias("b")).filter("a < b").drop("a", "b")
     bands = classes.select(F.col("v").alias("bv"), "bands")
@@ -228,9 +286,8 @@ def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, p
     def involved(key, table):
         table = table.combine_chunks()
         return table.take(pa.array(np.unique(np.concatenate(_pairs(table, percent)))))
-    left = materialise(blocks.groupBy("bucket", "i", "k").applyInArrow(involved, kind))
-    ids = F.coalesce("doc_id", F.lit(LAST_ID))
-    sets = full_sets(docs.select("doc_id", "text").join(left.select("v").distinct(), ids == F.col("v"), "left_semi"), shingle).select(F.col("v").alias("sv"), "h")
+    left = steps.write(blocks.groupBy("bucket", "i", "k").applyInArrow(involved, kind))
+    sets = full_sets(_texts_of(docs, left.select("v").distinct()), shingle).select(F.col("v").alias("sv"), "h")
 
     def linked(key, table):
         table = table.combine_chunks()
@@ -238,7 +295,9 @@ def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, p
         v = table["v"].to_numpy()
         good = [(max(v[x], v[y]), min(v[x], v[y])) for x, y in zip(*(c.tolist() for c in _pairs(table, percent))) if _linked(h[x], h[y], percent)]
         return pa.table({"v": pa.array([g[0] for g in good], pa.int64()), "c": pa.array([g[1] for g in good], pa.int64())})
-    return left.join(sets, F.col("v") == F.col("sv")).drop("sv").groupBy("bucket", "i", "k").applyInArrow(linked, "v long, c long").distinct()
+    found = steps.write(left.join(sets, F.col("v") == F.col("sv")).drop("sv").groupBy("bucket", "i", "k").applyInArrow(linked, "v long, c long").distinct())
+    steps.drop(rest, left)
+    return found
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
