@@ -49,10 +49,30 @@ def read_back(segment: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
+DRAFT = "A draft that does not stay."
+
+
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log of a table of turns: each row is a message event of its own, with seq equal to its turn."""
-    return conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), "turn",
-                                F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A log, as a chat server would have kept it, that ends in the given table of turns; a row is a message of its own.
+
+    By the length of its text modulo 3 a message is streamed in three deltas, or drafted and then edited and
+    continued, or drafted, regenerated and streamed in two deltas. A null text is a draft that is edited to null. Null ids,
+    turns and roles stay as they are, repeated rows are messages each, whole texts of any length are cut into at most three
+    events, other columns are not looked at, and an empty table gives an empty log.
+    """
+    n = F.length("text")
+    cut = lambda a, b: F.substring("text", F.floor(n * a / 6).cast("int") + 1, (F.floor(n * b / 6) - F.floor(n * a / 6)).cast("int"))
+
+    def log(*events):
+        return F.array(*(F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+                         for i, (kind, text) in enumerate(events)))
+    draft, none = F.lit(DRAFT), F.lit(None).cast("string")
+    streamed = log(("message", none), ("delta", cut(0, 2)), ("delta", cut(2, 4)), ("delta", cut(4, 6)))
+    edited = log(("message", draft), ("edit", cut(0, 3)), ("delta", cut(3, 6)))
+    again = log(("message", draft), ("regenerate", none), ("delta", cut(0, 3)), ("delta", cut(3, 6)))
+    events = F.when(n.isNull(), log(("message", draft), ("edit", none))).when(n % 3 == 0, streamed).when(n % 3 == 1, edited).otherwise(again)
+    named = conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), "turn", "role", events.alias("log"))
+    return named.select("conv_id", "message", "turn", "role", F.explode("log").alias("e")).select("conv_id", "message", "turn", "e.seq", "e.kind", "role", "e.text")
 
 
 def fold_and_render(events: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -61,7 +81,7 @@ def fold_and_render(events: DataFrame, learn: str = "assistant") -> DataFrame:
     A message's turn is the smallest of its events and its role the first that is not null. Null
     roles and texts are empty; events with a null or unknown kind count as deltas; equal sequence
     numbers are told apart by kind and text; null ids and turns are values like others. Only
-    messages of the role ``learn`` have a mask. An empty log gives no segments.
+    messages of the role ``learn`` have a mask. An empty log gives no segments, a message of any length one.
     """
     columns = ["conv_id", "message", "turn", "seq", "kind", "role", "text"]
 
@@ -100,6 +120,8 @@ def _segments(rows: list[tuple]) -> pa.RecordBatch:
 def digests(segments: DataFrame) -> DataFrame:
     """What the segments of each conversation say, read back from them in order of turns.
 
+    Null turns come first; segments of one turn are ordered by their formatted text, so repeated rows and ties have
+    one result. A null conv_id is a conversation of its own; no segments give no rows.
     Streams through each conversation: a task holds one batch of segments and running digests.
     """
     import hashlib
@@ -128,7 +150,7 @@ def digests(segments: DataFrame) -> DataFrame:
             yield _digest_rows(out)
         if state is not None:
             yield _digest_rows([row()])
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message")
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return ordered.mapInArrow(run, DIGESTS)
 
 

@@ -47,9 +47,11 @@ def slot_of(key: str, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> DataFrame:
     """All columns of ``df`` with the slot (``_slot``) and shard number (``_shard``) of each row.
 
-    Rows with equal keys go to one shard; a null key is placed like an empty text. Columns of ``df``
-    that have these two names already are replaced. No shuffle.
+    Rows with equal keys go to one shard, however often a row is repeated and however long its key is; a null key is
+    placed like an empty text, and an empty table gives no rows. Columns of ``df`` that have these two names already are
+    replaced; a key of one of these names stays, and the new column has one underscore more. No shuffle.
     """
-    df = df.drop(*({"_slot", "_shard"} - {key}))
-    table = df.sparkSession.createDataFrame(list(enumerate(fill(names, slots))), "_slot long, _shard int")
-    return df.withColumn("_slot", slot_of(key, slots)).join(F.broadcast(table), "_slot")
+    slot, shard = ("_" + c if c == key else c for c in ("_slot", "_shard"))
+    df = df.drop(slot, shard, *({"_slot", "_shard"} - {key}))
+    table = df.sparkSession.createDataFrame(list(enumerate(fill(names, slots))), f"{slot} long, {shard} int")
+    return df.withColumn(slot, slot_of(key, slots)).join(F.broadcast(table), slot)

@@ -58,6 +58,15 @@ def test_near_groups_of_given_documents(spark, small):
     assert near.near_groups(frame(spark, []), 3, 85).count() == 0
 
 
+def test_near_groups_of_the_largest_ids(spark, monkeypatch):
+    """No number is taken for a null id, and a crowded table of bits loses nothing."""
+    monkeypatch.setattr(near, "MARKS", 1)
+    top, low = 2**63 - 1, -2**63
+    for more in ([], [(low, "g h i j k l")]):
+        rows = [(top, "a b c d e f"), (None, "g h i j k l"), (top - 1, "a b c d e f"), (top - 3, "m n o p"), (7, None), (0, "x y z")] + more
+        assert rows_of(near.near_groups(frame(spark, rows), 3, 85), "*") == sorted(brute.near(rows, 3, 85), key=str)
+
+
 def test_links_that_stars_miss(spark):
     """Without any star link the rest of a bucket is still searched."""
     rows = edited(3, 60)
@@ -65,7 +74,7 @@ def test_links_that_stars_miss(spark):
     made = near.sketches(df, 3)
     classes = made.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands"))
     named = classes.select(F.explode("bands").alias("bucket"), "v", F.col("n_shingles").alias("n"), F.col("v").alias("component"))
-    have = {tuple(r) for r in near._rest(named, classes, df, 3, 85).collect()}
+    have = {tuple(r) for r in near._rest(named, classes, df, 3, 85, near.Steps(spark)).collect()}
     sets = {i: brute.shingle_set(t, 3) for i, t in rows}
     keep = {r.v for r in classes.collect()}
     want = {(a, b) for a in keep for b in keep if a > b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
@@ -111,6 +120,22 @@ def test_chat_fold(spark):
     assert chat.digests(chat.fold_and_render(spark.createDataFrame([], chat.EVENTS))).count() == 0
 
 
+def test_chat_log_of_turns(spark):
+    """The log holds every kind of event, its fold gives the turns back, and neither ties nor the order of rows matter."""
+    long = "<s> word [/INST]\\\n" * 20000
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", "abc"), ("assistant", "abcd"), ("assistant", "abcde"), ("user", None),
+                                                     (None, ""), ("assistant", "é"), ("assistant", "</s>[INST]"), ("assistant", long)])]
+    rows += [(2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, None, "user", "x"), (None, 0, "user", "y")]
+    make = lambda r: spark.createDataFrame([(*x, "k", 7) for x in r], "conv_id long, turn long, role string, text string, kind string, seq int")
+    log = chat.events_of(make(rows))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    have = rows_of(chat.digests(chat.fold_and_render(log)), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, -1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
+    assert have == sorted(brute.chat(ordered), key=str)
+    assert rows_of(chat.digests(chat.fold_and_render(chat.events_of(make(rows[::-1])))), *("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == have
+    assert chat.events_of(make([])).count() == 0
+
+
 # quality
 
 def test_statistics(spark, small):
@@ -315,7 +340,13 @@ def test_shards(spark):
     assert df.filter("doc_id = 4").select("_shard").distinct().count() == 1
     clash = shards.place(frame(spark, ODD).withColumn("_slot", F.lit("x")).withColumn("_shard", F.lit("y")), "doc_id", names, 251)
     assert rows_of(clash, "doc_id", "text", "_slot", "_shard") == rows_of(df, "doc_id", "text", "_slot", "_shard")
-    assert rows_of(shards.place(df.select("_shard"), "_shard", names, 251), "_slot") != []
+    for key in ("_slot", "_shard"):
+        own = frame(spark, ODD).select(F.col("doc_id").alias(key), F.lit("z").alias("_" + key))
+        placed = shards.place(own, key, names, 251)
+        new = [("_" + c if c == key else c) for c in ("_slot", "_shard")]
+        assert sorted(placed.columns) == sorted([key, *new])
+        assert rows_of(placed, key, *new) == rows_of(df, "doc_id", "_slot", "_shard")
+    assert shards.place(frame(spark, []), "doc_id", names, 251).count() == 0
     for bad in ([], ["a", "a"]):
         with pytest.raises(ValueError):
             shards.fill(bad)
