@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowvigil.operators import context, history, isolation, risk
+from flowvigil.operators import context, history, isolation, risk, sketches
 from flowvigil.plans.detect import Models, live_detections
 from flowvigil.plans.models import given_forest, given_score_sql
 from flowvigil.plans.registry import PARTS, query
@@ -185,6 +185,28 @@ from closed c join pe on c.ws = pe.ws and c.src_ip = pe.src_ip join de on c.ws =
       "duration:4 packets_per_second:4 bytes_per_second:3 avg_packet_size:4 protocol_entropy port_entropy packet_size_variance:3 packet_size_std:4")(
     lambda t: _sunk(t, jobs.window_features(view_over(_stream(t), "flows")), "windows"))
 
+_SKETCHED = """
+select {start} as window_start, {start} + interval '{length}' as window_end, src_ip, count(*) as flow_count, cast(sum(packets) as bigint) as packet_count,
+  cast(sum(bytes) as bigint) as byte_count, sum(flow_duration) as duration, sum(packets)/(sum(flow_duration) + 1e-6) as packets_per_second,
+  sum(bytes)/(sum(flow_duration) + 1e-6) as bytes_per_second, sum(bytes)/(sum(packets) + 1e-6) as avg_packet_size,
+  count(distinct dst_ip) as unique_dst_ips, count(distinct dst_port) as unique_dst_ports,
+  coalesce(var_samp(bytes), 0e0) as packet_size_variance, coalesce(stddev_samp(bytes), 0e0) as packet_size_std
+from (select to_timestamp(floor(epoch(ts)/300)*300) at time zone 'UTC' as ws, f.* from flows f) as w
+where ws + interval '5 minutes' <= (select max(ts) from flows) - interval '10 minutes' group by 1, 2, 3"""
+_SKETCH_DIGITS = "duration:4 packets_per_second:4 bytes_per_second:3 avg_packet_size:4 packet_size_variance:3 packet_size_std:4"
+
+
+def _sketched(t: Tables) -> DataFrame:
+    return _sunk(t, sketches.window_sketches(view_over(_stream(t), "flows")), "sketches")
+
+
+query("st4_window_sketches", _SKETCHED.format(start="ws", length="5 minutes"), _SKETCH_DIGITS)(
+    lambda t: sketches.sketch_features(_sketched(t)))
+query("st4_window_sketches_hourly", _SKETCHED.format(start="date_trunc('hour', ws)", length="1 hour"), _SKETCH_DIGITS)(
+    lambda t: sketches.sketch_features(sketches.roll_up(_sketched(t))))
+query("st4_window_sketches_daily", _SKETCHED.format(start="date_trunc('day', ws)", length="1 day"), _SKETCH_DIGITS)(
+    lambda t: sketches.sketch_features(sketches.roll_up(sketches.roll_up(_sketched(t)), "1 day")))
+
 
 @query("st5_running_stats", """
 select src_ip, count(*) as events, max(risk_score) as max_risk_score, count(*) filter (where severity = 'low') as low,
