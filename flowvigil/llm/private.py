@@ -2,7 +2,8 @@
 
 One pass of an Aho-Corasick automaton finds the anchors: at-signs, plus signs, digits, schemes
 and the cue words of identifiers and addresses. A small parser for each kind expands from the
-anchor, to the left and right as far as the kind's characters go, and validates what it got.
+anchor, to the left and right as far as the kind's characters go, and validates what it got. Cues
+count in any letter case.
 """
 
 from __future__ import annotations
@@ -18,9 +19,20 @@ from pyspark.sql import functions as F
 from flowvigil.llm.tasks import map_blocks
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "secret", "iban", "address")
-SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
-ADDRESS_CUES = (" Street", " Avenue", " Road", " Boulevard", " Lane")
+KINDS = (*BASE_KINDS, "url", "secret", "iban", "address", "ssn", "account", "routing")
+# Cues of the kinds beyond the base, in lower case.
+CUES = {
+    "url": ("http://", "https://", "ftp://"),
+    "secret": ("password", "passwd", "token", "secret", "api_key", "apikey", "api-key", "access_key"),
+    "iban": ("iban",),
+    "address": tuple(f" {w}" for w in ("street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "lane", "ln", "drive", "dr", "court", "ct",
+                                       "square", "sq", "terrace", "highway", "hwy", "parkway", "pkwy")),
+    "ssn": ("ssn", "social security"),
+    "account": ("account", "acct"),
+    "routing": ("routing", "aba"),
+}
+# Cues that count only as a word of their own.
+WHOLE = ("ssn", "account", "routing")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
@@ -30,18 +42,29 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^\s\"'<>]*)?")
 SECRET = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
-IBAN = re.compile(r"[:\x20]{0,3}([A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+IBAN = re.compile(r"[:\x20]{0,3}([A-Za-z]{2}[0-9]{2}(\x20?[A-Za-z0-9]{4}){2,7}(\x20?[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])")
+# What may stand between a cue and its number.
+LABEL = r"(?:\x20(?:[Nn]umber|NUMBER|[Nn]o|NO))?\.?[:#]?\x20{0,2}(?:is\x20)?#?"
+SSN = re.compile(LABEL + r"([0-9]{3}[\x20-]?[0-9]{2}[\x20-]?[0-9]{4})(?![0-9A-Za-z])")
+ACCOUNT = re.compile(LABEL + r"([0-9]{8,17})(?![0-9A-Za-z])")
+ROUTING = re.compile(LABEL + r"([0-9]{9})(?![0-9A-Za-z])")
 STREET = re.compile(r"[0-9]{1,5}(\x20[A-Z][a-z]+){1,3}$")
 
 
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def lowered(text: str) -> str:
+    """A-Z in lower case; every other character stays, so places stay too."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 @functools.lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for digit in "0123456789":
         found.add_word(digit, ("digit", 1))
-    for cue, kind in (("@", "email"), ("+", "phone"), ("http://", "url"), ("https://", "url"), ("ftp://", "url"),
-                      ("IBAN", "iban"), *((c, "address") for c in ADDRESS_CUES),
-                      *((form, "secret") for c in SECRET_CUES for form in {c, c.upper(), c.capitalize()})):
+    for cue, kind in (("@", "email"), ("+", "phone"), *((c, kind) for kind, cues in CUES.items() for c in cues)):
         found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
@@ -70,6 +93,18 @@ def is_iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def is_ssn(text: str) -> bool:
+    digits = text.replace(" ", "").replace("-", "")
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def is_routing(text: str) -> bool:
+    return sum(int(c) * w for c, w in zip(text, (3, 7, 1) * 3)) % 10 == 0 and text != "000000000"
+
+
+NUMBERS = {"iban": (IBAN, is_iban), "ssn": (SSN, is_ssn), "account": (ACCOUNT, lambda text: True), "routing": (ROUTING, is_routing)}
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind in the order of KINDS, then by start.
 
@@ -84,7 +119,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         if good:
             out.setdefault(kind, []).append((kind, start, end))
 
-    for last, (cue, size) in automaton().iter(text):
+    for last, (cue, size) in automaton().iter(lowered(text)):
         start = last - size + 1
         if cue == "digit":
             if start and text[start - 1] in DIGITS:
@@ -98,7 +133,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 begin -= 1
             if begin < start and (m := DOMAIN.match(text, last + 1)):
                 take("email", begin, m.end())
-        elif start < after[cue]:
+        elif start < after[cue] or (cue in WHOLE and start and text[start - 1].isalnum()):
             continue
         elif cue == "phone":
             if m := PHONE.match(text, start):
@@ -109,19 +144,21 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         elif cue == "secret":
             if m := SECRET.match(text, last + 1):
                 take("secret", m.start(1), m.end(1), any(c in DIGITS for c in m[1]))
-        elif cue == "iban":
-            if m := IBAN.match(text, last + 1):
-                take("iban", m.start(1), m.end(1), is_iban(m[1]))
-        elif m := STREET.search(text, max(after["address"], start - 70), start):
-            take("address", m.start(), last + 1)
+        elif cue in NUMBERS:
+            pattern, check = NUMBERS[cue]
+            if m := pattern.match(text, last + 1):
+                take(cue, m.start(1), m.end(1), check(m[1]))
+        elif text[start + 1].isupper() and not text[last + 1:last + 2].isalnum():
+            if m := STREET.search(text, max(after["address"], start - 70), start):
+                take("address", m.start(), last + 1)
     return [span for kind in KINDS for span in out.get(kind, ())]
 
 
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans``, an array of (kind, start, end), for the whole text of each row.
 
-    A null or empty text has none; rows with the same doc_id are looked at each on its own;
-    other columns are not looked at.
+    A null or empty text has none; rows with the same doc_id, or equal rows, are looked at each on its own;
+    texts of any length are looked at whole; other columns are not looked at; an empty table gives no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -130,3 +130,30 @@ def contained(docs, items, size=5, percent=80):
             if s and 100 * len(s & have) >= percent * len(s):
                 out.append((d, i, len(s), len(s & have)))
     return out
+
+
+def private_more(text):
+    """Spans of the kinds beyond the base, each from one pattern of its own over the whole text."""
+    def iban(m):
+        m = m.replace(" ", "").upper()
+        return 15 <= len(m) <= 34 and int("".join(str(int(c, 36)) for c in m[4:] + m[:4])) % 97 == 1
+
+    def ssn(m):
+        m = re.sub("[^0-9]", "", m)
+        return m[:3] != "000" and m[:3] != "666" and m[0] != "9" and m[3:5] != "00" and m[5:] != "0000"
+
+    def routing(m):
+        d = [int(c) for c in m]
+        return any(d) and (3 * (d[0] + d[3] + d[6]) + 7 * (d[1] + d[4] + d[7]) + d[2] + d[5] + d[8]) % 10 == 0
+    label = r"(?: (?:[Nn]umber|NUMBER|[Nn]o|NO))?\.?[:#]? {0,2}(?:is )?#?"
+    cue = lambda words: rf"(?<![^\W_])(?i:{words}){label}"
+    street = "street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|court|ct|square|sq|terrace|highway|hwy|parkway|pkwy"
+    kinds = (("url", r"((?i:https?://|ftp://)[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?)", lambda m: True),
+             ("secret", r"(?i:password|passwd|token|secret|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})",
+              lambda m: re.search("[0-9]", m)),
+             ("iban", r"(?i:iban)[: ]{0,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
+             ("address", rf"([0-9]{{1,5}}(?: [A-Z][a-z]+){{1,3}} (?=[A-Z])(?i:{street})(?![^\W_]))", lambda m: True),
+             ("ssn", cue("ssn|social security") + r"([0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4})(?![0-9A-Za-z])", ssn),
+             ("account", cue("account|acct") + r"([0-9]{8,17})(?![0-9A-Za-z])", lambda m: True),
+             ("routing", cue("routing|aba") + r"([0-9]{9})(?![0-9A-Za-z])", routing))
+    return [(k, m.start(1), m.end(1)) for k, p, good in kinds for m in re.finditer(p, text or "") if good(m[1])]

@@ -326,6 +326,36 @@ def test_sketch_misses_no_allowed_loss():
         assert contamination.sketch_size(n, 80) == n - least + 1
 
 
+# more personal data
+
+PARTS = ["HTTP://X.org/a", "https://é.example", "ftp://a.b:21/c?d", "iban DE89370400440532013000", "IBAN: de89 3704 0044 0532 0130 00", "IBAN DE88370400440532013000",
+         "ssn 123-45-6789", "SSN: 666-12-1234", "Social Security Number: 123 45 6789", "assn 123456789", "acct 12345678", "Account No. 123456789012", "account number is 1234567",
+         "ABA 021000021", "Routing #: 021000022", "12 Main St", "7 Old Mill Road", "12 main St", "99 Long Acre Stone", "1 Rose Blvd.", "3 The Dr", "PassWord = hunter2hunter",
+         "token: abcdefgh", "api-KEY='k3y/k3y/k3y'", "İ", "ß", "\n", "x", "12", "éé"]
+
+
+def test_added_kinds_by_example():
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in private.spans(t) if k not in private.BASE_KINDS]
+    assert kinds("see HTTP://X.org/a") == [("url", "HTTP://X.org/a")]
+    assert kinds("my iban de89 3704 0044 0532 0130 00.") == [("iban", "de89 3704 0044 0532 0130 00")]
+    assert kinds("ssn 123-45-6789, SSN 000-45-6789") == [("ssn", "123-45-6789")]
+    assert kinds("acct 12345678 and routing 021000021") == [("account", "12345678"), ("routing", "021000021")]
+    assert kinds("at 12 Main St, not 12 Main Stone") == [("address", "12 Main St")]
+    assert kinds("the street has 12 accounts, 40 of them new") == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PARTS), st.sampled_from([" ", ", ", "\n", ""])), max_size=8))
+def test_added_kinds(parts):
+    text = "".join(a + b for a, b in parts)
+    more = [s for s in private.spans(text) if s[0] not in private.BASE_KINDS]
+    assert more == brute.private_more(text), text
+
+
+def test_private_data_of_an_empty_table(spark):
+    assert private.find_private(frame(spark, [])).count() == 0 and private.redact(frame(spark, [])).count() == 0
+
+
 # sharding
 
 def test_shards(spark):
