@@ -5,7 +5,7 @@
    Documents with equal sets become one class at once.
 2. Classes meet in banded buckets. A bucket proposes a star: its smallest member with each other.
 3. Proposed links are confirmed on the full sets, read again for these documents only (a broadcast
-   table of bits of bounded size keeps most other texts out of the shuffle), and components are
+   table of bits of bounded size keeps most other texts out; no text is shuffled), and components are
    found by contracting stars (no list of neighbours, nothing on the driver).
 4. A star alone can miss a link between two members that both differ from its centre. So in
    buckets whose members are still in several components, all pairs across components that
@@ -35,8 +35,8 @@ LAST_ID = np.iinfo(np.int64).max
 # Members of a star or of a block of a bucket that a task confirms at a time, and their shingles (8 bytes each).
 STAR_PART = 400
 STAR_SHINGLES = 4 << 20
-# Rows, of 64 bits each, of the broadcast table that ids are looked up in before their texts are shuffled.
-MARKS = 1 << 18
+# Rows, of 64 bits each, of the broadcast table that ids are looked up in while texts are read.
+MARKS = 1 << 20
 
 
 class Steps:
@@ -65,18 +65,18 @@ def _gap(docs: DataFrame) -> int:
     return next(n for n, u in zip(tried, used) if not u)
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is a ``v`` of ``ids``.
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is a ``v`` of ``ids``, and some others; no text is shuffled.
 
-    Each id is one bit of a table of MARKS words, which is broadcast; rows without their bit are left out before
-    the shuffle of the exact join. The more ids, the more rows get through to it; none is lost.
+    Each id is one bit of a table of MARKS words, which is broadcast, and rows without their bit are left out. The more ids,
+    the more other rows get through; the joins that follow leave them out. None that is wanted is lost.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS * 64))
     marks = (ids.select(bit("v").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("marks")))
     dealt = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text").withColumn("bit", bit("doc_id"))
-    some = dealt.join(F.broadcast(marks), F.shiftright("bit", 6) == F.col("word")).filter("shiftright(marks, cast(bit & 63 as int)) & 1 = 1")
-    return some.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("v"), "left_semi")
+    return dealt.join(F.broadcast(marks), F.shiftright("bit", 6) == F.col("word")).filter(
+        "shiftright(marks, cast(bit & 63 as int)) & 1 = 1").select("doc_id", "text")
 
 
 def _parts(size: str) -> F.Column:
@@ -144,7 +144,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, steps: Steps) -> DataFrame:
     """The pairs (v, c) of ``pairs`` (v, c, n: shingles of v) whose sets have 100 * intersection >= percent * union."""
     needed = pairs.select("v").union(pairs.select("c")).distinct()
-    sets = steps.write(full_sets(_texts_of(docs, needed), shingle))
+    sets = steps.write(full_sets(_likely(docs, needed), shingle))
     parts = pairs.groupBy("c").agg(_parts("n").alias("parts"))
     centres = (parts.join(sets.withColumnRenamed("v", "c"), "c")
                .select(F.col("c").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("kpart"), F.col("h").alias("kh")))
@@ -235,12 +235,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int
 
 
 def own_shingles(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(v, own): how many shingles of each member stand in no other member."""
+    """(v, own): how many shingles of each member stand in no other member (or fewer: some other documents may be looked at too)."""
     def run(block):
         h, off = _sets(block, shingle)
         lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))
         return pa.table({"v": block["doc_id"].fill_null(LAST_ID), "hs": lists})
-    single = (map_blocks(_texts_of(docs, members.select("v").distinct()), run, "v long, hs array<long>").select("v", F.explode("hs").alias("h"))
+    single = (map_blocks(_likely(docs, members.select("v").distinct()), run, "v long, hs array<long>").select("v", F.explode("hs").alias("h"))
               .groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("times")).filter("times = 1"))
     return single.groupBy("v").agg(F.count("*").alias("own"))
 
@@ -287,7 +287,7 @@ def _rest(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, p
         table = table.combine_chunks()
         return table.take(pa.array(np.unique(np.concatenate(_pairs(table, percent)))))
     left = steps.write(blocks.groupBy("bucket", "i", "k").applyInArrow(involved, kind))
-    sets = full_sets(_texts_of(docs, left.select("v").distinct()), shingle).select(F.col("v").alias("sv"), "h")
+    sets = full_sets(_likely(docs, left.select("v").distinct()), shingle).select(F.col("v").alias("sv"), "h")
 
     def linked(key, table):
         table = table.combine_chunks()
