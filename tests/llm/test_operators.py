@@ -67,6 +67,17 @@ def test_near_groups_of_the_largest_ids(spark, monkeypatch):
         assert rows_of(near.near_groups(frame(spark, rows), 3, 85), "*") == sorted(brute.near(rows, 3, 85), key=str)
 
 
+def test_finished_steps_are_removed(spark):
+    """Only what the lazy result still reads stays in the shared folder."""
+    from flowvigil.session import shared_dir
+    from flowvigil.sources.folders import Folders
+    here = lambda: {e.name for e in Folders(spark).matching(f"{shared_dir(spark)}/near-*")}
+    before = here()
+    rows = edited()
+    out = near.near_groups(frame(spark, rows), 3, 85)
+    assert len(here() - before) == 2 and out.count() == len(rows)
+
+
 def test_links_that_stars_miss(spark):
     """Without any star link the rest of a bucket is still searched."""
     rows = edited(3, 60)
