@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowvigil.operators import classify, ensemble, isolation, kmeans, reconstruction
+from flowvigil.session import spread
 
 
 @pytest.fixture(scope="module")
@@ -181,3 +182,48 @@ def test_forest_of_no_rows_scores_null(spark):
     model = isolation.fit_isolation_forest(none, ["a"], "id", trees=5)
     row = model.score(spark.createDataFrame([(1, 0.5)], "id long, a double")).first()
     assert model.trees == [] and row.raw_score is None and row.is_anomaly is None
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_kmeans_restarts_share_their_passes(spark, cloud):
+    """The same centres and cost as the best of Spark's own fits, with one pass a step for all restarts."""
+    from pyspark.ml.clustering import KMeans
+    _, df = cloud
+    vectors = classify.vectorise(kmeans.apply_scaler(df, kmeans.fit_scaler(df, list("abc"))), list("abc")).persist()
+    fits = [KMeans(k=6, maxIter=300, seed=42 + i).fit(vectors) for i in range(8)]
+    want = min(fits, key=lambda m: m.summary.trainingCost)
+    out = []
+    jobs = jobs_of(spark, "restarts", lambda: out.append(kmeans.fit_kmeans(df, ["a", "b", "c"], "id", k=6, restarts=8)))
+    got = out[0]
+    np.testing.assert_allclose(got.centres, np.array(want.clusterCenters()), rtol=1e-9, atol=1e-9)
+    assert got.cost == pytest.approx(want.summary.trainingCost, rel=1e-9)
+    firsts = 8 * jobs_of(spark, "first", lambda: KMeans(k=6, maxIter=0, seed=42).fit(vectors))
+    assert jobs < firsts + sum(m.summary.numIter for m in fits)
+
+
+def test_kmeans_sums_of_ties_and_missing_centres():
+    rows = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 0.0], [9.0, 9.0]])
+    sets = np.array([[[0.0, 0.0], [2.0, 0.0], [2.0, 0.0]], [[9.0, 9.0], [np.inf, np.inf], [np.inf, np.inf]]])
+    out = kmeans.nearest_sums(rows, sets)
+    assert out[0].tolist() == [[2.0, 1.0, 1.0, 0.0], [2.0, 130.0, 11.0, 9.0], [0.0] * 4]
+    assert out[1].tolist() == [[4.0, 162.0 + 130.0 + 145.0, 12.0, 9.0], [0.0] * 4, [0.0] * 4]
+
+
+def test_kmeans_with_fewer_different_rows_than_centres(spark):
+    df = spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "id long, a double")
+    model = kmeans.fit_kmeans(df, ["a"], "id", k=4, restarts=2)
+    assert sorted(c[0] for c in model.centres.tolist()) == [-1.0, 1.0] and model.cost == 0.0 and model.threshold == 0.0
+
+
+def test_small_files_are_spread_over_the_cores(spark):
+    few = spark.range(100).coalesce(1)
+    assert spread(few, 100).rdd.getNumPartitions() == 1
+    assert spread(few, 99).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
