@@ -34,6 +34,18 @@ def test_tree_walk_equals_row_by_row():
     np.testing.assert_allclose(isolation.path_lengths(trees, x), want)
 
 
+def test_walk_takes_as_many_steps_as_the_deepest_leaf(monkeypatch):
+    """The same paths in steps of a few rows, with NaN (goes high), a tree of one leaf, and no rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 3))
+    x[7] = np.nan
+    trees = [{k: np.array(v) for k, v in isolation.grow_tree(rng.normal(size=(64, 3)), np.random.default_rng(i)).items()} for i in range(4)]
+    trees.append({k: np.array(v) for k, v in isolation.grow_tree(np.zeros((9, 3)), rng).items()})
+    monkeypatch.setattr(isolation, "STEP_ROWS", 7)
+    np.testing.assert_allclose(isolation.path_lengths(trees, x), [np.mean([slow_path(t, row) for t in trees]) for row in x])
+    assert len(isolation.path_lengths(trees, x[:0])) == 0
+
+
 def test_every_training_row_lands_in_one_leaf():
     x = np.random.default_rng(1).normal(size=(64, 2))
     tree = isolation.grow_tree(x, np.random.default_rng(2))
