@@ -14,17 +14,30 @@ from flowvigil.plans.views import Tables, view_over
 from flowvigil.session import materialise, scratch_path
 from flowvigil.streaming import jobs, recent
 
+FILE_ROWS = 50_000  # rows that one task of a micro-batch reads
+
 
 def _stream(t: Tables) -> DataFrame:
     events = jobs.file_stream(t.spark, t.sf_dir, t.table("events").schema, "events.parquet")
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _split_stream(t: Tables, parts: int = 4) -> DataFrame:
-    """The same events as several files, one per micro-batch."""
+def _split_stream(t: Tables, parts: int = 4, file_rows: int = FILE_ROWS) -> DataFrame:
+    """The same events cut by time, one part per micro-batch; a part has a file for every ``file_rows`` rows.
+
+    Files are taken in the order in which they were written, so parts of several files are written one after the other.
+    """
     path = scratch_path(t.spark, "arriving")
-    t.events.repartitionByRange(parts, "ts").write.parquet(path)
-    return jobs.file_stream(t.spark, path, t.events.schema, files_per_batch=1)
+    files = max(1, -(-t.events.count() // (parts * file_rows)))
+    if files == 1:
+        t.events.repartitionByRange(parts, "ts").write.parquet(path)
+    else:
+        at = F.unix_micros("ts")
+        cuts = t.events.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+        part = sum((F.coalesce((at > cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0))
+        for i in range(parts):
+            t.events.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return jobs.file_stream(t.spark, path, t.events.schema, files_per_batch=files)
 
 
 def _checkpoint(t: Tables, name: str) -> str:

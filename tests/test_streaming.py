@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from flowvigil.operators import throttle
+from flowvigil.plans import streams
+from flowvigil.plans.views import Tables
 from flowvigil.session import scratch_path
 from flowvigil.streaming import jobs
 
@@ -181,3 +184,20 @@ def test_alerts_exactly_one_gap_apart_are_one_incident(spark):
     jobs.run(jobs.correlated_alerts(arriving(spark, [df])()), scratch_path(spark, "checkpoint"), path=path)
     have = sorted((r["first_seen"], r["alerts"]) for r in spark.read.parquet(path).collect())
     assert have == sorted((r["first_seen"], r["alerts"]) for r in policies.correlate_alerts(df).collect()) and [n for _, n in have] == [3, 2]
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_parts_of_many_rows_have_several_files(spark, tmp_path, gaps):
+    """Each micro-batch is a part of the time with files of bounded size; rows without a time, and equal times, stay whole."""
+    n = 400
+    at = "case when id % 10 = 0 then null when id < 250 then timestamp_seconds(5) else timestamp_seconds(id) end" if gaps else "timestamp_seconds((id * 37) % 400)"
+    spark.range(n).selectExpr("id as event_id", f"{at} as ts", "id % 9 as user_id", "'view' as event_type", "1.5 as value",
+                              "'{\"k\": 3}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    rows = streams._split_stream(t, 2, file_rows=50).withColumn("file", F.input_file_name())
+    seen = []
+    jobs.run(rows, str(tmp_path / "checkpoint"), each_batch=lambda df, _: seen.append(
+        df.agg(F.count("*"), F.min("ts"), F.max("ts"), F.collect_set("event_id"), F.count_distinct("file")).first()))
+    assert sorted(i for r in seen for i in r[3]) == list(range(n)) and sum(r[0] for r in seen) == n
+    if not gaps:
+        assert len(seen) == 2 and seen[0][2] < seen[1][1] and [r[4] for r in seen] == [4, 4]
