@@ -15,18 +15,20 @@ from flowvigil.operators import classify, context, ensemble, isolation
 from flowvigil.operators.isolation import IsolationForest, usual_path
 from flowvigil.plans.detect import Models, detect, load_suite, save_suite
 from flowvigil.plans.registry import PARTS, query
-from flowvigil.session import materialise, scratch_path
+from flowvigil.session import materialise, scratch_path, spread
 from flowvigil.sources import sinks
 from flowvigil.sources.model_store import ModelStore
 
 DIMENSIONS = [f"e{i}" for i in range(64)]
+ROWS_EACH = 1000  # rows that one task of a fit may have before the rows are spread: a row passes hundreds of trees
 
 
 def _vectors(t):
     """(vec_id, features, label_code) and the class names."""
     rows = classify.vectorise_array(t.table("embeddings"), "embedding")
     classes = classify.fit_label_codes(rows, "label")
-    return classify.add_label_code(rows, "label", classes).select("vec_id", "features", "label_code"), classes
+    coded = classify.add_label_code(rows, "label", classes).select("vec_id", "features", "label_code")
+    return spread(coded, ROWS_EACH), classes
 
 
 def _predicted(model, rows, classes):

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowvigil.operators import classify, ensemble, isolation, kmeans, reconstruction
+from flowvigil.plans import models
+from flowvigil.plans.views import Tables
 from flowvigil.session import spread
 
 
@@ -239,3 +241,12 @@ def test_small_files_are_spread_over_the_cores(spark):
     few = spark.range(100).coalesce(1)
     assert spread(few, 100).rdd.getNumPartitions() == 1
     assert spread(few, 99).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_vectors_of_one_file_are_spread_before_a_fit(spark, tmp_path):
+    rows = 1001 * spark.sparkContext.defaultParallelism
+    spark.range(rows).selectExpr("id as vec_id", "array(cast(id % 7 as float), cast(id as float)) as embedding", "cast(id % 3 as int) as label").coalesce(
+        1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors, classes = models._vectors(Tables(spark, str(tmp_path)))
+    assert vectors.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert classes == ["0", "1", "2"] and vectors.select("vec_id").distinct().count() == rows
