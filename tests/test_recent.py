@@ -69,6 +69,23 @@ def test_cache_after_every_batch(spark, tmp_path):
     assert sizes[0] == 50 and sizes[-1] == 4 and max(sizes[2:]) < 65
 
 
+def test_cache_of_a_day_is_kept_by_the_hour(spark, tmp_path):
+    """A call into state for each hour and part, not for each minute; hours leave it, and what is left is right."""
+    arriving, changed = Arriving(spark, tmp_path), []
+    changes = recent.keep_recent(arriving.stream, "ts", ttl_seconds=86400, parts=2)
+    for first in (0, 1500, 4000):
+        rows = [("a", first + i, START + timedelta(minutes=first + i), None, i) for i in range(180)]
+        arriving.frame(rows).coalesce(1).write.mode("append").parquet(arriving.path)
+        arriving.rows += rows
+        with recent.rocksdb_state(spark):
+            jobs.run(changes, arriving.checkpoint, each_batch=lambda df, batch: changed.append([tuple(r) for r in df.collect()]))
+        same(recent.recent_events(spark, arriving.checkpoint, arriving.stream.schema, "ts", 86400), recent_cache(arriving.all(), "ts", 86400))
+    calls = [row for batch in changed for row in batch]
+    assert len(calls) <= 2 * 2 * 12 and sum(row[2] for row in calls) == 540
+    assert all(row[0] % 60 == 0 for row in calls) and any(row[3] for row in calls)
+    assert recent._state_rows(spark, arriving.checkpoint, "events").count() == 180
+
+
 def test_cache_by_arrival_expires(spark, tmp_path):
     arriving = Arriving(spark, tmp_path)
     changes = recent.keep_recent(arriving.stream, "ts", ttl_seconds=20, by_arrival=True, parts=2)
