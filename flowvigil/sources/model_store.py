@@ -32,6 +32,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowvigil.operators.boosting import BoostedTreesModel
 from flowvigil.operators.curved import CurvedAutoencoder
 from flowvigil.operators.forest import RandomForestModel
 from flowvigil.operators.isolation import IsolationForest
@@ -39,7 +40,7 @@ from flowvigil.operators.kmeans import KMeansDetector
 from flowvigil.operators.reconstruction import LinearAutoencoder, SequenceModel
 from flowvigil.sources.folders import Folders
 
-CLASSES = {c.__name__: c for c in (IsolationForest, KMeansDetector, LinearAutoencoder, CurvedAutoencoder, SequenceModel, RandomForestModel)}
+CLASSES = {c.__name__: c for c in (IsolationForest, KMeansDetector, LinearAutoencoder, CurvedAutoencoder, SequenceModel, RandomForestModel, BoostedTreesModel)}
 NODES = "part string, field string, tree int, node int, feature int, cut double, low int, high int, path double"
 CELLS = "part string, field string, kind string, shape array<int>, pos int, number double, text string"
 VERSIONS = "suite string, version int, parts map<string,string>, metadata string, saved_at timestamp"
